@@ -13,11 +13,13 @@ exactly: documents are linked if the Jaccard similarity of their shingle sets is
 0.8 or more. Classes are the connected components of the links.
 
 Equal texts (the same words) are one node, so large groups of copies cost one
-row. A bucket's members are compared with its pivot, not with each other: first
-with its smallest node, then, where members are not in one class yet, with
-another one. What may still be linked after that (members of different classes
-whose distances to the pivot differ by at most 0.2, as Jaccard distance is a
-metric) is compared pair by pair, so no link within a bucket is lost.
+row. A bucket's members are compared with its pivot, its smallest node, and not
+with each other. Where that leaves the members of a bucket in several classes,
+the members of all such buckets with one pivot are compared in blocks: each task
+gets two blocks of at most about ``BLOCK`` texts, counts all their common
+shingles by a matrix product, and returns a spanning forest of the links it
+finds. So no link within a bucket is lost, pairs are never rows, and no task
+holds a group.
 
 Defined results: a text of one to four words is one shingle of all its words;
 null and empty texts have no shingles and are equal to each other; rows that
@@ -32,6 +34,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,6 +46,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
 #: Characters of text worked on together.
 CHUNK = 1 << 22
+#: Texts in a block, about, and columns of a block's matrix.
+BLOCK, COLUMNS = 128, 8192
 #: Ids of candidates are broadcast up to this many (of 8 bytes); beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -183,16 +188,76 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _unresolved(labelled: DataFrame) -> DataFrame:
-    """Members of buckets of three and more that are in several classes."""
+    """(pivot, node, label) of the buckets of three and more whose members are in several classes."""
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("n > 2 and x < y").select("bucket")
-    return stage(labelled.join(stage(mixed, "near-mixed"), "bucket", "left_semi"), "near-unresolved")
+    return stage(labelled.join(stage(mixed, "near-mixed"), "bucket", "left_semi").groupBy("pivot", "node").agg(F.min("label").alias("label")), "near-unresolved")
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` and each of ``b`` have in common; sets are arrays of distinct numbers."""
+    out = np.zeros((len(a), len(b)))
+    left, right = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(left, right)
+    row_a, row_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    keep_a, keep_b = np.isin(left, both), np.isin(right, both)
+    row_a, row_b = row_a[keep_a], row_b[keep_b]
+    col_a, col_b = np.searchsorted(both, left[keep_a]), np.searchsorted(both, right[keep_b])
+    for k in range(0, len(both), COLUMNS):
+        width = min(COLUMNS, len(both) - k)
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        on_a, on_b = (col_a >= k) & (col_a < k + width), (col_b >= k) & (col_b < k + width)
+        x[row_a[on_a], col_a[on_a] - k] = 1
+        y[row_b[on_b], col_b[on_b] - k] = 1
+        out += x @ y.T
+    return out
+
+
+def _compare_blocks(frame):
+    """Links between different classes in two blocks of texts, of which only a spanning forest is returned."""
+    texts = frame["text"].tolist()
+    with np.errstate(over="ignore"):
+        text, h, _ = shingles([t.encode().split() for t in texts])
+    sets = np.split(h, np.searchsorted(text, np.arange(1, len(texts))))
+    one, two = int(frame["one"].iloc[0]), int(frame["two"].iloc[0])
+    block = frame["block"].to_numpy()
+    rows, cols = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    links = []
+    if len(rows) and len(cols):
+        both = common([sets[i] for i in rows], [sets[i] for i in cols])
+        size = np.array([len(x) for x in sets])
+        union = size[rows][:, None] + size[cols][None] - both
+        label = frame["label"].to_numpy()
+        near = (both >= 1) & (both / np.maximum(union, 1) >= SIMILARITY) & (label[rows][:, None] != label[cols][None])
+        up: dict = {}
+
+        def root(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        node = frame["node"].to_numpy()
+        for i, j in zip(*np.nonzero(near)):
+            x, y = root(label[rows[i]]), root(label[cols[j]])
+            if x != y:
+                up[x] = y
+                links.append((int(node[rows[i]]), int(node[cols[j]])))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def compared_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different classes among (pivot, node, label), of nodes with the same pivot."""
+    sizes = stage(members.groupBy("pivot").agg(F.count("*").alias("n")).select("pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-group-sizes")
+    dealt = members.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pair = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) as one, greatest(k, block) as two))")
+    rows = dealt.select("pivot", "node", "label", "block", F.explode(pair).alias("p")).select("pivot", "node", "label", "block", "p.one", "p.two")
+    with_text = rows.join(texts.dropDuplicates(["node"]), "node")
+    return stage(with_text.groupBy("pivot", "one", "two").applyInPandas(_compare_blocks, "a long, b long"), "near-block-links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest id of its class), class_size, kept, n_links.
+    """One row per document: doc_id, class_id (the smallest id of its class), class_size, kept.
 
-    ``class_size`` counts the class's rows, ``n_links`` the verified links of the
-    document's text to other texts. ``kept`` marks the row with the class's id.
+    ``class_size`` counts the class's rows; ``kept`` marks the row with the class's id.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     bound_batches(docs.sparkSession)
@@ -210,38 +275,17 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     texts = stage(texts.join(wanted, "node", "left_semi"), "near-texts")
     pairs = stage(members.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "near-pairs")
-    tried = verified(pairs, texts)
-    links = tried.filter(F.col("similarity") >= SIMILARITY)
+    links = verified(pairs, texts).filter(F.col("similarity") >= SIMILARITY).select("a", "b")
     labels = components(links)
-    open_ = _unresolved(_labelled(members, labels))
-    if open_.head(1):
-        # Another pivot of each open bucket, for those outside its class.
-        place = F.xxhash64("bucket", "node")
-        second = stage(open_.groupBy("bucket").agg(F.min(F.struct(place.alias("p"), "node", "label")).alias("s")).select("bucket", F.col("s.node").alias("b"), F.col("s.label").alias("label_b")), "near-second")
-        more = open_.join(second, "bucket").filter("label != label_b").select(F.col("node").alias("a"), "b").distinct()
-        tried = tried.unionByName(verified(more.join(tried, ["a", "b"], "left_anti"), texts))
-        links = tried.filter(F.col("similarity") >= SIMILARITY)
+    rest = _unresolved(_labelled(members, labels))
+    if rest.head(1):
+        links = links.unionByName(compared_in_blocks(rest, texts))
         labels = components(links)
-        open_ = _unresolved(_labelled(open_.select("bucket", "node", "pivot"), labels))
-        # What the first pivot's distances leave possible is compared pair by pair.
-        to_pivot = tried.groupBy(F.col("a").alias("node"), F.col("b").alias("pivot")).agg(F.max("similarity").alias("near"))
-        open_ = stage(open_.join(to_pivot, ["node", "pivot"], "left").withColumn("near", F.coalesce("near", F.lit(1.0))), "near-open")
-        one = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("x"), F.col("near").alias("near_a"))
-        two = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("y"), F.col("near").alias("near_b"))
-        rest = one.join(two, "bucket").filter((F.col("x") < F.col("y")) & (F.abs(F.col("near_a") - F.col("near_b")) <= 1 - SIMILARITY + 1e-9))
-        rest = rest.select("a", "b").distinct()
-        seen = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rest = stage(rest.join(seen, ["a", "b"], "left_anti"), "near-rest")
-        if rest.head(1):
-            links = links.unionByName(verified(rest, texts).filter(F.col("similarity") >= SIMILARITY))
-            labels = components(links)
-    ends = links.select(F.col("a").alias("of"), "b").unionByName(links.select(F.col("b").alias("of"), F.col("a").alias("b"))).distinct()
-    counted = stage(ends.groupBy("of").agg(F.count("*").alias("n_links")), "near-counted")
-    placed = nodes.select("key", "node", "least", "rows").join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").join(counted, F.col("node") == F.col("of"), "left")
-    placed = stage(placed.select("key", "least", "rows", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-placed")
+    placed = nodes.select("key", "node", "least", "rows").join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
+    placed = stage(placed.select("key", "least", "rows", F.coalesce("label", "node").alias("label")), "near-placed")
     sizes = stage(placed.groupBy("label").agg(F.sum("rows").alias("class_size"), F.min("least").alias("class_id")), "near-sizes")
-    by_key = stage(placed.join(sizes, "label").select("key", "class_id", "class_size", "n_links"), "near-classes")
-    return signed.select("doc_id", "key").join(by_key, "key").select("doc_id", "class_id", "class_size", F.expr("doc_id <=> class_id").alias("kept"), "n_links")
+    by_key = stage(placed.join(sizes, "label").select("key", "class_id", "class_size"), "near-classes")
+    return signed.select("doc_id", "key").join(by_key, "key").select("doc_id", "class_id", "class_size", F.expr("doc_id <=> class_id").alias("kept"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
