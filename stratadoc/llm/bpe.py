@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from stratadoc.llm._shared import bound_batches, table
 
 #: Transitions and pieces kept at most; beyond it the table starts anew, as lazy automata do.
-MOST_TRANSITIONS = 1_500_000
-MOST_PIECES = 400_000
+MOST_TRANSITIONS = 600_000
+MOST_PIECES = 350_000
+MOST_PAIRS = 300_000
 #: Longer pieces are not kept.
 LONG_PIECE = 48
 #: Bytes read between two emissions within one piece.
@@ -63,14 +64,15 @@ class Transducer:
                     self.ends.append(-1)
                 node = nxt
             self.ends[node] = rank
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self._restart()
 
     def _restart(self) -> None:
-        """States by number: tuples of (trie node, last token before it), oldest first."""
-        self.numbers: dict[tuple, int] = {((0, -1),): 0}
-        self.states: list[tuple] = [((0, -1),)]
-        self.moves: dict[int, tuple[int, int]] = {}
+        """States by number: their hypotheses, oldest first, each a trie node and the last token before it (plus 1) in one number."""
+        self.numbers: dict[tuple, int] = {(0,): 0}
+        self.states: list[tuple] = [(0,)]
+        #: By state and byte: the next state and the last token, in one number.
+        self.moves: dict[int, int] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The merges by definition: of all adjacent pairs the lowest rank first, leftmost first."""
@@ -85,34 +87,38 @@ class Transducer:
 
     def compatible(self, before: int, token: int) -> bool:
         """Whether ``token`` can follow ``before`` (-1: can stand at the start)."""
-        known = self.fits.get((before, token))
+        key = before << 32 | token if before >= 0 else -1 - token
+        known = self.fits.get(key)
         if known is None:
             if before < 0:
                 known = self.merged(self.tokens[token]) == [token]
             else:
                 known = self.merged(self.tokens[before] + self.tokens[token]) == [before, token]
-            self.fits[before, token] = known
+            if len(self.fits) >= MOST_PAIRS:
+                self.fits.clear()
+            self.fits[key] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
+    def _move(self, state: int, byte: int) -> int:
         """Determinises one transition: the next state and the last token of the prefix read."""
         live, last = [], -1
-        for node, before in self.states[state]:
-            nxt = self.children.get(node << 8 | byte)
+        for hypothesis in self.states[state]:
+            nxt = self.children.get(hypothesis >> 32 << 8 | byte)
             if nxt is None:
                 continue
-            live.append((nxt, before))
-            if last < 0 and (end := self.ends[nxt]) >= 0 and self.compatible(before, end):
+            before = hypothesis & 0xFFFFFFFF
+            live.append(nxt << 32 | before)
+            if last < 0 and (end := self.ends[nxt]) >= 0 and self.compatible(before - 1, end):
                 last = end
         if last < 0:
             raise KeyError(f"no token covers byte {byte}")
-        live.append((0, last))
+        live.append(last + 1)
         key = tuple(live)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-        move = self.moves[state << 8 | byte] = (number, last)
+        move = self.moves[state << 8 | byte] = number << 32 | last
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -128,8 +134,8 @@ class Transducer:
             move = moves.get(state << 8 | byte)
             if move is None:
                 move = self._move(state, byte)
-            state, last = move
-            ending.append(last)
+            state = move >> 32
+            ending.append(move & 0xFFFFFFFF)
             pending += 1
             if pending >= EMIT_EVERY:
                 ending = self._emit(state, ending, out)
@@ -149,8 +155,8 @@ class Transducer:
         """Emits the tokens that all live hypotheses have in common, and returns what is still open."""
         n = len(ending)
         starts = set()
-        for node, _ in self.states[state]:
-            starts.add(n - self._depth(node))
+        for hypothesis in self.states[state]:
+            starts.add(n - self._depth(hypothesis >> 32))
         while len(starts) > 1:
             far = max(starts)
             starts.discard(far)

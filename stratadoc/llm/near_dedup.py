@@ -45,7 +45,7 @@ from stratadoc.llm._shared import bound_batches, chunks, stage, table
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
 #: Characters of text worked on together.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Texts in a block, about, and columns of a block's matrix.
 BLOCK, COLUMNS = 128, 8192
 #: Ids of candidates are broadcast up to this many (of 8 bytes); beyond it they are joined.
