@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +16,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch handed to Python; long texts make short batches.
-ARROW_ROWS = 2000
-ARROW_BYTES = 16 << 20
+ARROW_ROWS = 500
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,3 +72,34 @@ def chunks(texts: list[str], most: int):
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+#: Tables that a worker process keeps from task to task, of one operator at a time.
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """The process's tables of this operator. Those of other operators are dropped, as workers are used by all stages."""
+    for other in [k for k in _kept if k != operator]:
+        del _kept[other]
+    return _kept.setdefault(operator, {})
+
+
+def task(operator: str):
+    """Decorates a function of Arrow batches: when its task ends, memory that is free goes back to the system."""
+
+    def wrap(run):
+        @functools.wraps(run)
+        def guarded(batches):
+            kept(operator)
+            try:
+                yield from run(batches)
+            finally:
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+                if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                    trim(0)
+
+        return guarded
+
+    return wrap

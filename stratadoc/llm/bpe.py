@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from stratadoc.llm._shared import bound_batches, table
+from stratadoc.llm._shared import bound_batches, kept, table, task
 
 #: Transitions and pieces kept at most; beyond it the table starts anew, as lazy automata do.
 MOST_TRANSITIONS = 600_000
@@ -246,17 +246,18 @@ class StreamDecoder:
 DECODE_IDS = 1 << 14
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("exact", pa.bool_())])
-_encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
     """The process's encoder of this vocabulary; worker processes are used again, and their tables with them."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(read_ranks(path), pattern)
-    return _encoders[path, pattern]
+    tables = kept("bpe")
+    if (path, pattern) not in tables:
+        tables[path, pattern] = Encoder(read_ranks(path), pattern)
+    return tables[path, pattern]
 
 
 def _round_trip(path: str, pattern: str):
+    @task("bpe")
     def run(batches):
         enc = encoder(path, pattern)
         tokens = enc.fst.tokens
@@ -295,6 +296,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
 
 def _ids(path: str, pattern: str):
+    @task("bpe")
     def run(batches):
         enc = encoder(path, pattern)
         for batch in batches:

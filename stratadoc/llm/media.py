@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratadoc.llm._shared import bound_batches, chunks, table
+from stratadoc.llm._shared import bound_batches, chunks, table, task
 
 #: Payloads are padded with 255 to a multiple of UNIT; a thumbnail is SIDE samples wide.
 UNIT, SIDE = 576, 24
@@ -340,6 +340,7 @@ def _stored(texts: list[str]):
         yield [(n, b"".join(images)) for (n, _), images in zip(ready, encode([p for _, p in ready]))]
 
 
+@task("media")
 def _round_trip(batches):
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -350,6 +351,7 @@ def _round_trip(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *[pa.array(c, t) for c, t in zip(cols, _TYPES[1:])]], schema=_ARROW)
 
 
+@task("media")
 def _media(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
     for batch in batches:
@@ -363,6 +365,7 @@ def media_column(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_media, "doc_id long, n_bytes long, media binary")
 
 
+@task("media")
 def _describe(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("thumbnail", pa.binary()), ("average_hash", pa.string()), ("difference_hash", pa.string())])
     for batch in batches:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratadoc.llm._shared import bound_batches, chunks, stage, table
+from stratadoc.llm._shared import bound_batches, chunks, stage, table, task
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
@@ -119,6 +119,7 @@ def buckets(signature: np.ndarray) -> np.ndarray:
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
+@task("near_dedup")
 def _sign(batches):
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -145,6 +146,7 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
+@task("near_dedup")
 def _verify(batches):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
     last, held = None, set()

@@ -20,7 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratadoc.llm._shared import bound_batches, table
+from stratadoc.llm._shared import bound_batches, table, task
 
 # The patterns of the kinds and their context words.
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -117,6 +117,7 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 _ARROW = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS[:BASE]], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_iban", pa.int64()), ("n_ssn", pa.int64()), ("max_score", pa.float64())])
 
 
+@task("pii")
 def _scan(batches):
     for batch in batches:
         rows = []

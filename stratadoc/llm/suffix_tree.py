@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratadoc.llm._shared import bound_batches, chunks, stage, table
+from stratadoc.llm._shared import bound_batches, chunks, stage, table, task
 
 FOLDS = 10
 DEPTH = 5
@@ -227,6 +227,7 @@ def _batches(columns: list[list], schema: pa.Schema):
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + ROWS], t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
+@task("suffix_tree")
 def _count(batches):
     """Of a task's training texts: windows and words with their counts. The END word counts the texts."""
     seen, found, held = Counter(), [], 0
@@ -284,6 +285,7 @@ _ROWS_SQL = "doc_id long, tie int, word binary, n int, of struct<n_tokens:long,n
 
 
 def _score(shipped):
+    @task("suffix_tree")
     def run(batches):
         look = shipped.value
         terms = look.terms

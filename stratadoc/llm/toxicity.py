@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratadoc.llm._shared import bound_batches, chunks, table
+from stratadoc.llm._shared import bound_batches, chunks, kept, table, task
 
 #: Labelled rows of either label at most, and their length: the bound of the sample.
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
@@ -271,15 +271,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(*sample(docs, labels))
 
 
-_process_words: list[Words] = []
-
-
 def _score(model):
+    @task("toxicity")
     def run(batches):
         m = model.value
-        if not _process_words:
-            _process_words.append(Words())
-        words = _process_words[0]
+        tables = kept("toxicity")
+        if "words" not in tables:
+            tables["words"] = Words()
+        words = tables["words"]
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             scores, langs = [], []

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratadoc.llm._shared import bound_batches, stage, table
+from stratadoc.llm._shared import bound_batches, stage, table, task
 
 #: Children of a node, records in an archive on average, and places in it (FAN**3: its tree has three levels).
 FAN, RECORDS, PLACES = 16, 512, 4096
@@ -171,6 +171,7 @@ def parse(data: bytes):
 _READ = pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("uri", pa.string()), ("hash", pa.string()), ("block", pa.binary())])
 
 
+@task("warc")
 def _read(batches):
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
