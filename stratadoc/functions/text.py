@@ -35,7 +35,7 @@ def frontmatter(text: Column) -> Column:
 def sections(text: Column) -> Column:
     """Array of (heading, body) of the ``## `` sections."""
     parts = F.slice(F.split(F.coalesce(text, F.lit("")), r"(?m)^## "), 2, 1 << 20)
-    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"\A([^\n]*)", 1)).alias("heading"), F.trim(F.regexp_replace(p, r"\A[^\n]*\n?", "")).alias("body")))
+    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"\A([^\n]*)", 1)).alias("heading"), F.regexp_replace(p, r"\A[^\n]*\n?\s*|\s+\z", "").alias("body")))
 
 
 def section(text: Column, heading: str) -> Column:

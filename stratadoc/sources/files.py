@@ -18,7 +18,10 @@ CONFIDENCE = ("high", "medium", "low")
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Hash inventory of all files below ``root``: path, folder, length, mtime, sha256. An empty folder gives no rows."""
+    """Hash inventory of all files below ``root``: path, folder, length, mtime, sha256. An empty folder gives no rows.
+
+    Spark's file scans skip files without bytes, so an empty file counts as absent until it has content.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     below = F.regexp_replace("path", r"^.*?" + r"\Q" + root.rstrip("/").split("/")[-1] + r"/\E", "")
     return files.select(
