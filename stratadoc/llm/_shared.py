@@ -45,11 +45,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as one row can hold megabytes of text."""
+def bound_batches(spark: SparkSession, times: int = 1) -> None:
+    """Keep Arrow batches small, as one row can hold megabytes of text; ``times`` makes them larger where counts are merged by batch."""
     for key, value in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES),
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS * times),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES * times),
     ):
         spark.conf.set(key, str(value))
 

@@ -316,7 +316,7 @@ def _score(shipped):
 
 def learn(docs: DataFrame) -> tuple[Lookup, DataFrame, int]:
     """The lookup, the table of word counts (word, c), and the number of training tokens."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 4)
     counted = docs.filter(training()).select("text").mapInArrow(_count, "gram long, word binary, n long")
     counts = stage(counted.groupBy("gram", "word").agg(F.sum("n").alias("n")), "lm-counts")
     by_word = counts.filter("word is not null").select("word", F.col("n").alias("c"))
