@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -18,3 +19,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int, name: str = "small") -> DataFrame:
+    """``df`` as a table of its own, marked for broadcast only if its counted rows are at most ``most``."""
+    kept = stage(df, name)
+    return F.broadcast(kept) if kept.count() <= most else kept

@@ -9,12 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratadoc.functions import text as T
+from stratadoc.functions.tables import small, stage
 
 K1, B = 1.2, 0.75
 RRF = 60
-#: Query vectors that one row carries to the vectors it is compared with, and their greatest number for one broadcast.
-QUERY_BLOCK = 256
+#: Query vectors and vectors that one row holds, so that a pair of rows is one matrix product.
+QUERY_BLOCK, VECTOR_BLOCK = 256, 2048
 DIMENSIONS = 64
+#: Rows of query terms, or of ids found, that are broadcast at most; beyond it they are joined.
+BROADCAST_ROWS = 500_000
 
 
 def top(scored: DataFrame, query: str, doc: str, k: int, score: str = "score") -> DataFrame:
@@ -24,48 +27,68 @@ def top(scored: DataFrame, query: str, doc: str, k: int, score: str = "score") -
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
-    """(query, doc, score, rank). Only postings of query terms are joined; lengths come from the same count."""
-    counts = T.token_counts(docs, doc)
-    lengths = counts.groupBy(doc).agg(F.sum("tf").alias("dl"))
-    whole = docs.agg(F.count("*").alias("n"))
-    mean = lengths.agg(F.sum("dl").cast("double").alias("total"))
-    terms = queries.select(query, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    postings = counts.join(terms.select("term").distinct(), "term", "left_semi")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    """(query, doc, score, rank).
+
+    Tokens that no query has end where they are scanned, as long as the query
+    terms can be broadcast. The postings left are brought together by document
+    once; scores and the first cut to k are made there, so only the best of
+    each partition are shuffled by query.
+    """
+    words = T.tokens(F.col("text"))
+    terms = small(queries.select(query, F.explode(F.array_distinct(words)).alias("term")), BROADCAST_ROWS, "query-terms")
+    wanted = small(terms.select("term").distinct(), BROADCAST_ROWS, "wanted-terms")
+    lengths = stage(docs.select(doc, F.size(words).cast("long").alias("dl")).groupBy(doc).agg(F.sum("dl").alias("dl"), F.count("*").alias("rows")), "lengths")
+    whole = lengths.agg(F.sum("rows").alias("n"), F.sum("dl").cast("double").alias("total"))
+    found = docs.select(doc, F.explode(words).alias("term")).join(wanted, "term", "left_semi")
+    postings = stage(found.groupBy(doc, "term").agg(F.count("*").alias("tf")), "postings")
+    df = small(postings.groupBy("term").agg(F.count("*").alias("df")), BROADCAST_ROWS, "frequencies")
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("total") / F.col("n"))))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = postings.join(lengths, doc).join(df, "term").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(mean)).select(doc, "term", (idf * norm).alias("w"))
-    scored = terms.join(weighted, "term").groupBy(query, doc).agg(F.round(F.sum("w"), 4).alias("score"))
+    weighted = postings.hint("merge").join(lengths.select(doc, "dl"), doc).join(df, "term").crossJoin(F.broadcast(whole)).select(doc, "term", (idf * norm).alias("w"))
+    scored = weighted.join(terms, "term").groupBy(query, doc).agg(F.round(F.sum("w"), 4).alias("score"))
     return top(scored, query, doc, k)
 
 
+def _packed(rows: int):
+    """Batches of (vec_id, embedding) as rows of up to so many ids and their vectors, end to end."""
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), rows):
+                part = frame.iloc[at : at + rows]
+                yield pd.DataFrame({"ids": [part["vec_id"].to_numpy()], "vectors": [np.concatenate(part["embedding"].to_list())]})
+
+    return run
+
+
 def _nearest(k: int):
     def run(frames):
         for frame in frames:
             out = []
-            for _, part in frame.groupby("block"):
-                q_ids = np.array(part["q_ids"].iloc[0])
-                q = np.stack(part["q_vectors"].iloc[0]).astype(np.float64)
-                v = np.stack(part["embedding"]).astype(np.float64)
-                cos = (q @ v.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None], 1e-300)
-                ids = part["vec_id"].to_numpy()
-                cos = np.round(cos, 6)
-                cos[q_ids[:, None] == ids[None]] = -np.inf
+            for q_ids, q, ids, v in frame[["q_ids", "q_vectors", "ids", "vectors"]].itertuples(index=False):
+                q, v = (np.asarray(x, np.float64).reshape(n, -1) for x, n in ((q, len(q_ids)), (v, len(ids))))
+                cos = np.round((q @ v.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None], 1e-300), 6)
+                cos[np.asarray(q_ids)[:, None] == np.asarray(ids)[None]] = -np.inf
                 for i, q_id in enumerate(q_ids):
                     best = np.lexsort((ids, -cos[i]))[:k]
-                    out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[best], "score": cos[i][best]}))
-            whole = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            yield whole[np.isfinite(whole["score"])].astype({"query_id": "int64", "vec_id": "int64"})
+                    best = best[np.isfinite(cos[i][best])]
+                    out.append(pd.DataFrame({"query_id": np.full(len(best), q_id, np.int64), "vec_id": ids[best], "score": cos[i][best]}))
+            if out:
+                yield pd.concat(out)
 
     return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, vec_id, score, rank) by cosine. Queries travel in blocks; each batch returns its own k best only."""
-    usable = lambda d: d.filter("embedding is not null and size(embedding) > 0")
-    blocks = usable(queries).withColumn("block", F.expr(f"cast(row_number() over (partition by vec_id % 16 order by vec_id) div {QUERY_BLOCK} as int) * 16 + cast(vec_id % 16 as int)"))
-    blocks = blocks.groupBy("block").agg(F.collect_list("vec_id").alias("q_ids"), F.collect_list("embedding").alias("q_vectors"))
-    pairs = usable(vectors).select("vec_id", "embedding").crossJoin(blocks)
+    """(query_id, vec_id, score, rank) by cosine.
+
+    Blocks of queries meet blocks of vectors, not single vectors, so a query
+    block is copied once for ``VECTOR_BLOCK`` of them; each pair of blocks
+    returns its own k best only.
+    """
+    pack = lambda d, n: d.filter("embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("long"), "embedding").mapInPandas(_packed(n), "ids array<long>, vectors array<float>")
+    blocks = stage(pack(queries, QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "query-blocks")
+    pairs = pack(vectors, VECTOR_BLOCK).crossJoin(blocks)
     return top(pairs.mapInPandas(_nearest(k), "query_id long, vec_id long, score double"), "query_id", "vec_id", k)
 
 
@@ -77,9 +100,9 @@ def hashed(docs: DataFrame, key: str) -> DataFrame:
 
 def hybrid(docs: DataFrame, queries: DataFrame, k: int = 5, first: int = 20, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
     """(query, doc, score, rank): the best by terms are ranked again by hashed vectors, and both ranks are fused."""
-    found = bm25(docs, queries, first, doc, query).select(query, doc, F.col("rank").alias("term_rank"))
-    wanted = docs.join(found.select(doc).distinct(), doc, "left_semi")
-    d, q = hashed(wanted, doc), hashed(queries, query)
+    found = stage(bm25(docs, queries, first, doc, query).select(query, doc, F.col("rank").alias("term_rank")), "found")
+    wanted = docs.join(small(found.select(doc).distinct(), BROADCAST_ROWS, "found-ids"), doc, "left_semi")
+    d, q = stage(hashed(wanted, doc), "found-vectors"), stage(hashed(queries, query), "query-vectors")
     norm = lambda v, key, name: v.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
     dots = found.join(q, query).withColumnRenamed("w", "qw").join(d, [doc, "dim"]).groupBy(query, doc).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     cosine = dots.join(norm(d, doc, "dn"), doc).join(norm(q, query, "qn"), query).withColumn("cosine", F.round(F.col("dot") / F.col("dn") / F.col("qn"), 6))
@@ -106,7 +129,7 @@ def stale(current: DataFrame, indexed: DataFrame) -> DataFrame:
 
 def answer(questions: DataFrame, catalog: DataFrame, raw: DataFrame, floor: float, k: int = 5) -> DataFrame:
     """Evidence by tier: the catalog first; the raw sources only for questions whose best page is below ``floor``."""
-    tier1 = bm25(catalog, questions, k).withColumn("tier", F.lit("catalog"))
+    tier1 = stage(bm25(catalog, questions, k).withColumn("tier", F.lit("catalog")), "tier")
     sure = tier1.filter((F.col("rank") == 1) & (F.col("score") >= floor)).select("item_id")
     tier2 = bm25(raw, questions.join(sure, "item_id", "left_anti"), k).withColumn("tier", F.lit("raw"))
     return tier1.unionByName(tier2)
