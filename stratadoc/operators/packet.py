@@ -55,6 +55,22 @@ def ambiguities(found: DataFrame, source: str = "doc_id", margin: float = MARGIN
     return led.withColumn("margin", gap).filter(F.col("margin") < margin)
 
 
+def unmatched(sources: DataFrame, found: DataFrame, floor: float, source: str = "doc_id") -> DataFrame:
+    """(source, score): sources without a candidate above the floor, queued like ambiguous ones; without any, the score is 0."""
+    best = found.filter("rank = 1").select(source, "score")
+    return sources.select(source).join(best, source, "left").select(source, F.coalesce("score", F.lit(0.0)).alias("score")).filter(F.col("score") <= floor)
+
+
+def neighbours(found: DataFrame, edges: DataFrame, source: str = "doc_id", page: str = "item_id") -> DataFrame:
+    """(source, page, via): pages one link away from a source's candidates that are not candidates themselves.
+
+    ``edges`` is (src, dst); a page met from several candidates comes from the best ranked.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
+    met = found.select(source, "rank", F.col(page).alias("src")).join(both, "src").groupBy(source, F.col("dst").alias(page)).agg(F.min_by("src", "rank").alias("via"))
+    return met.join(found.select(source, page), [source, page], "left_anti").select(source, page, "via")
+
+
 def cues(sources: DataFrame, vocabulary: DataFrame, source: str = "doc_id") -> DataFrame:
     """(source, tag, n): controlled tags that occur among a source's terms."""
     counts = T.token_counts(sources, source)

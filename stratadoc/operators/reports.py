@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratadoc.functions import text as T
+
 #: Days that are upcoming, or recently completed; rows of evidence a subject.
 HORIZON, EVIDENCE = 7, 3
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -107,8 +109,13 @@ def meetings_to_export(meetings: DataFrame, on: date) -> DataFrame:
     return meetings.filter((F.to_date("ended_at") == F.lit(on)) & F.col("has_summary"))
 
 
-def cards(all_cards: DataFrame, ids: list[str]) -> DataFrame:
-    return all_cards.filter(F.col("card_id").isin(*ids))
+def cards(all_cards: DataFrame, ids: list[str] = (), keyword: str | None = None) -> DataFrame:
+    """Cards (card_id, title) by id, or by a keyword, all of whose tokens the title has."""
+    chosen = F.col("card_id").isin(*ids)
+    if keyword:
+        asked = T.tokens(F.lit(keyword))
+        chosen = chosen | ((F.size(asked) > 0) & (F.size(F.array_except(asked, T.tokens(F.col("title")))) == 0))
+    return all_cards.filter(chosen)
 
 
 def transcripts(turns: DataFrame) -> DataFrame:
@@ -139,6 +146,14 @@ def gaps(expected: DataFrame, observed: DataFrame, keys: list[str], least: int)
     return expected.join(counts, keys, "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col("n") < least)
 
 
+def opportunities(metrics: DataFrame, k: int = 3) -> DataFrame:
+    """The k worst subjects of each metric (metric, subject, value; lower is worse), with what they lack to the metric's mean."""
+    mean = metrics.groupBy("metric").agg(F.avg("value").alias("mean"))
+    order = W.partitionBy("metric").orderBy("value", "subject")
+    worst = metrics.filter("value is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return worst.join(F.broadcast(mean), "metric").select("metric", "subject", "value", "rank", F.round(F.col("mean") - F.col("value"), 6).alias("lacks"))
+
+
 def sentiment(rows: DataFrame) -> DataFrame:
     """(subject, n, mean, label, confidence, action) of (subject, value, age); values are from -1 to 1."""
     mean, sd = F.avg("value"), F.coalesce(F.stddev_pop("value"), F.lit(0.0))

@@ -98,6 +98,17 @@ def hashed(docs: DataFrame, key: str) -> DataFrame:
     return counts.groupBy(key, (T.md5_number(F.col("term")) % DIMENSIONS).alias("dim")).agg(F.sum("tf").cast("double").alias("w"))
 
 
+def embedded(docs: DataFrame, key: str, model=None) -> DataFrame:
+    """(key, dim, w) of each text; ``model`` is a column function from a text to an array of numbers, if there is one.
+
+    Only dimensions that are not 0 are kept, as with the default.
+    """
+    if model is None:
+        return hashed(docs, key)
+    dims = docs.select(key, F.posexplode(model(F.coalesce("text", F.lit(""))))).select(key, F.col("pos").cast("long").alias("dim"), F.col("col").cast("double").alias("w"))
+    return dims.filter("w <> 0")
+
+
 def hybrid(docs: DataFrame, queries: DataFrame, k: int = 5, first: int = 20, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
     """(query, doc, score, rank): the best by terms are ranked again by hashed vectors, and both ranks are fused."""
     found = stage(bm25(docs, queries, first, doc, query).select(query, doc, F.col("rank").alias("term_rank")), "found")
@@ -133,3 +144,30 @@ def answer(questions: DataFrame, catalog: DataFrame, raw: DataFrame, floor: floa
     sure = tier1.filter((F.col("rank") == 1) & (F.col("score") >= floor)).select("item_id")
     tier2 = bm25(raw, questions.join(sure, "item_id", "left_anti"), k).withColumn("tier", F.lit("raw"))
     return tier1.unionByName(tier2)
+
+
+def fallback(found: DataFrame, claims: DataFrame, query: str = "doc_id", page: str = "item_id") -> DataFrame:
+    """(query, low, imprecise, contradicting, raw): whether the raw sources have to be read for a question, and why.
+
+    ``found`` has query, page, rank, confidence and needs_precision; ``claims``
+    has page, attribute and value. Raw sources are read if the best page's
+    confidence is low, if the question needs more precision, or if two of the
+    pages found differ in the value of an attribute.
+    """
+    per = found.groupBy(query).agg(
+        F.coalesce(F.bool_or((F.col("rank") == 1) & (F.col("confidence") == "low")), F.lit(False)).alias("low"),
+        F.coalesce(F.bool_or("needs_precision"), F.lit(False)).alias("imprecise"),
+    )
+    differ = (
+        found.select(query, page).join(claims.filter("value is not null").select(page, "attribute", "value"), page)
+        .groupBy(query, "attribute").agg((F.min("value") < F.max("value")).alias("differs"))
+        .groupBy(query).agg(F.bool_or("differs").alias("contradicting"))
+    )
+    out = per.join(differ, query, "left").withColumn("contradicting", F.coalesce("contradicting", F.lit(False)))
+    return out.withColumn("raw", F.col("low") | F.col("imprecise") | F.col("contradicting"))
+
+
+def referenced(pages: DataFrame, references: DataFrame, sources: DataFrame) -> DataFrame:
+    """(page, path, sha256): the sources behind pages of low confidence, by the pages' own references."""
+    low = pages.filter("confidence = 'low'").select("page")
+    return references.select("page", "path").distinct().join(low, "page", "left_semi").join(sources.select("path", "sha256"), "path").select("page", "path", "sha256")

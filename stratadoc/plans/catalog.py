@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stratadoc.operators import graph, lint, packet, reconcile, reports, retrieval, state
 from stratadoc.plans import vault as V
 from stratadoc.sources.files import DOMAIN_COLORS
+from stratadoc.streaming.activity import sessions
 
 FLAGSHIP = "ingest_packet"
 QUERIES: dict = {}
@@ -490,3 +491,72 @@ def latest_reports(spark, d):
 UNION ALL SELECT 'maintenance', count(*), count(*) = 0 FROM delta WHERE change_type IN ('moved', 'deleted')""")
 def preflight(spark, d):
     return packet.preflight({"blocked": packet.blocked(packet.routed(V.table(spark, d, "documents"))), "maintenance": V.delta(spark, d).filter("change_type in ('moved', 'deleted')")})
+
+
+@query(f"""WITH {PACKET}, best AS (SELECT doc_id, score FROM cand WHERE rank = 1)
+SELECT src.doc_id, coalesce(score, 0.0) AS score FROM src LEFT JOIN best USING (doc_id) WHERE coalesce(score, 0.0) <= 10""")
+def packet_unmatched(spark, d):
+    return packet.unmatched(V.delta_documents(spark, d).select("doc_id"), V.candidates(spark, d), 10.0)
+
+
+@query(f"""WITH {PACKET}, e AS (SELECT item_id AS src, item_id // 2 AS dst FROM benchmark), b AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst)
+SELECT doc_id, dst AS item_id, arg_min(src, rank) AS via FROM cand JOIN b ON src = item_id WHERE (doc_id, dst) NOT IN (SELECT (doc_id, item_id) FROM cand) GROUP BY doc_id, dst""")
+def packet_neighbours(spark, d):
+    edges = V.table(spark, d, "benchmark").select(F.col("item_id").alias("src"), F.expr("item_id div 2").alias("dst"))
+    return packet.neighbours(V.candidates(spark, d), edges)
+
+
+@query(f"""WITH {PACKET}, f AS (SELECT doc_id, item_id, rank, CASE item_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, doc_id % 7 = 0 AS needs_precision FROM cand),
+  p AS (SELECT doc_id, bool_or(rank = 1 AND confidence = 'low') AS low, bool_or(needs_precision) AS imprecise FROM f GROUP BY ALL),
+  c AS (SELECT doc_id, min(length(text) % 50) < max(length(text) % 50) AS contradicting FROM f JOIN benchmark USING (item_id) WHERE item_id % 4 = 0 GROUP BY ALL)
+SELECT doc_id, low, imprecise, coalesce(contradicting, false) AS contradicting, low OR imprecise OR coalesce(contradicting, false) AS raw FROM p LEFT JOIN c USING (doc_id)""")
+def raw_fallback(spark, d):
+    kind = F.when(F.col("item_id") % 3 == 0, "low").when(F.col("item_id") % 3 == 1, "medium").otherwise("high")
+    found = V.candidates(spark, d).select("doc_id", "item_id", "rank", kind.alias("confidence"), (F.col("doc_id") % 7 == 0).alias("needs_precision"))
+    claims = V.table(spark, d, "benchmark").filter("item_id % 4 = 0").select("item_id", F.lit("length").alias("attribute"), (F.length("text") % 50).alias("value"))
+    return retrieval.fallback(found, claims)
+
+
+@query(f"""WITH {LINKS}, {WIKI} SELECT DISTINCT l.page_id AS page, l.target AS path, sha256(p.html) AS sha256 FROM links l JOIN wiki ON page = page_id AND author = ''
+JOIN pages p ON regexp_replace(p.url, '[#?].*$', '') = l.target""")
+def reference_evidence(spark, d):
+    pages = V.wiki(spark, d).select("page", F.when(F.col("author") == "", "low").otherwise("high").alias("confidence"))
+    sources = V.table(spark, d, "pages").select(graph.address(F.col("url")).alias("path"), F.sha2("html", 256).alias("sha256")).distinct()
+    return retrieval.referenced(pages, V.links(spark, d).select(F.col("page_id").alias("page"), F.col("target").alias("path")), sources)
+
+
+@query(f"SELECT doc_id, cast('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS dim, count(*)::DOUBLE AS w FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL")
+def document_embeddings(spark, d):
+    return retrieval.embedded(V.table(spark, d, "documents"), "doc_id")
+
+
+@query(r"""WITH e AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS heading, regexp_replace(url, '[#?].*$', '') AS target FROM pages),
+  c AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS heading, regexp_replace(url, '[#?].*$', '') || CASE WHEN page_id % 17 = 0 THEN '/gone' ELSE '' END AS target FROM pages WHERE page_id % 10 <> 0)
+SELECT *, 'add' AS action FROM (SELECT * FROM e EXCEPT SELECT * FROM c) UNION ALL SELECT *, 'remove' FROM (SELECT * FROM c EXCEPT SELECT * FROM e)""")
+def catalog_changes(spark, d):
+    pages = V.table(spark, d, "pages")
+    heading, at = F.regexp_extract("url", "^https?://([^/]+)", 1).alias("heading"), graph.address(F.col("url"))
+    listed = F.when(F.col("page_id") % 17 == 0, F.concat(at, F.lit("/gone"))).otherwise(at)
+    return graph.catalog_changes(pages.select(heading, at.alias("target")), pages.filter("page_id % 10 <> 0").select(heading, listed.alias("target")))
+
+
+@query(f"SELECT p_partkey::VARCHAR AS card_id, p_name AS title FROM part WHERE p_partkey IN (3, 5) OR list_has_all({TOKENS.format('p_name')}, ['part', '7'])")
+def card_search(spark, d):
+    all_cards = V.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("card_id"), F.col("p_name").alias("title"))
+    return reports.cards(all_cards, ["3", "5"], "Part 7")
+
+
+@query("""WITH o AS (SELECT source AS subject, avg(quality) AS quality, 1 - avg(toxic) AS civility FROM documents JOIN labels USING (doc_id) GROUP BY ALL),
+  m AS (SELECT 'quality' AS metric, subject, round(quality, 6) AS value FROM o UNION ALL SELECT 'civility', subject, round(civility, 6) FROM o)
+SELECT metric, subject, value, row_number() OVER (PARTITION BY metric ORDER BY value, subject) AS rank, round((avg(value) OVER (PARTITION BY metric)) - value, 6) AS lacks FROM m QUALIFY rank <= 3""")
+def improvement_opportunities(spark, d):
+    rows = V.table(spark, d, "documents").select("doc_id", F.col("source").alias("subject")).join(V.table(spark, d, "labels"), "doc_id").groupBy("subject")
+    each = rows.agg(F.round(F.avg("quality"), 6).alias("quality"), F.round(1 - F.avg("toxic"), 6).alias("civility"))
+    return reports.opportunities(each.unpivot("subject", ["quality", "civility"], "metric", "value"))
+
+
+@query("""WITH m AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  n AS (SELECT user_id, ts, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts) AS number FROM m)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM n GROUP BY user_id, number""")
+def user_sessions(spark, d):
+    return sessions(V.table(spark, d, "events"))

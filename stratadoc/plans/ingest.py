@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratadoc.operators import lint, packet, state
 from stratadoc.sources import files, sinks
@@ -21,6 +22,25 @@ class Run:
     note: str = ""
 
 
+def findings(old: DataFrame, new: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
+    """What speaks against the reviewed pages, by check; all frames must be empty.
+
+    ``old`` and ``new`` are parsed pages, ``sources`` the inventory. A reference
+    names a source by its path, with or without ``.md``, or a page.
+    """
+    bare = lambda c: F.regexp_replace(c, r"\.md$", "")
+    cited = new.select(F.col("path").alias("page"), F.explode("references").alias("path")).withColumn("path", bare("path"))
+    known = sources.select("path").unionByName(old.select("path")).unionByName(new.select("path")).select(bare("path").alias("path")).distinct()
+    return {
+        "notes": packet.touched_notes(old.join(new.select("path"), "path", "left_semi"), new),
+        "confidence": packet.bad_confidence(new, files.CONFIDENCE),
+        "structure": lint.missing_sections(new, ["References"]),
+        "references": packet.dangling_references(cited, known),
+        "redaction": packet.redactions(new, "path"),
+        "repeated": new.groupBy("path").count().filter("count > 1"),
+    }
+
+
 Review = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -54,11 +74,9 @@ def ingest(spark: SparkSession, data: str, manifest: str, log: str, wiki: str, r
         run.note = str(error)[:200]
         return run
     done("review", True)
-    old, new = files.parse(pages), files.parse(written)
-    ok = not packet.touched_notes(old.join(new.select("path"), "path", "left_semi"), new).head(1)
-    ok = ok and not packet.bad_confidence(new, files.CONFIDENCE).head(1) and not lint.missing_sections(new, ["References"]).head(1)
-    if not done("validate", ok):
-        run.note = "the reviewed pages are not valid"
+    bad = [name for name, rows in findings(files.parse(pages), files.parse(written), files.inventory(spark, data)).items() if rows.head(1)]
+    if not done("validate", not bad):
+        run.note = "the reviewed pages are not valid: " + ", ".join(bad)
         return run
     changed = written.count()
     if changed:

@@ -98,8 +98,9 @@ def test_policy_and_settings_files(spark, tmp_path):
 
 def test_ingest_accepts_only_after_all_stages(spark, vault, tmp_path):
     data, where = str(vault / "Data"), {k: str(tmp_path / k) for k in ("manifest", "log", "wiki")}
-    page = frame(spark, [("w.md", PAGE)], "path string, text string")
-    bad = frame(spark, [("w.md", PAGE.replace("mine", "other"))], "path string, text string")
+    text = PAGE.replace("src/1", "top").replace("src/2", "Inbox/ä b.md")
+    page = frame(spark, [("w.md", text)], "path string, text string")
+    bad = frame(spark, [("w.md", text.replace("mine", "other"))], "path string, text string")
     args = (spark, data, where["manifest"], where["log"], where["wiki"])
 
     def fails(sources, pages):
@@ -114,7 +115,10 @@ def test_ingest_accepts_only_after_all_stages(spark, vault, tmp_path):
     assert ingest.ingest(*args, fails, day).note == "nothing new"
     (vault / "Data" / "new.md").write_text("n")
     broken = ingest.ingest(*args, lambda s, p: bad, day)
-    assert not broken.accepted and broken.stages[-1] == ("validate", False)
+    assert not broken.accepted and broken.stages[-1] == ("validate", False) and broken.note.endswith(": notes")
+    worse = frame(spark, [("v.md", PAGE + "\n"), ("u.md", text.replace("see", "ask a@b.cd"))], "path string, text string")
+    assert ingest.ingest(*args, lambda s, p: worse, day).note.endswith(": references, redaction")
+    assert ingest.ingest(*args, lambda s, p: page.unionByName(page), day).note.endswith(": repeated")
     (vault / "Data" / "new.md").rename(vault / "Data" / "newer.md")
     (vault / "Data" / "top.md").rename(vault / "Data" / "moved.md")
     assert ingest.ingest(*args, lambda s, p: page, day).note.startswith("moved")
@@ -242,7 +246,10 @@ def test_connectors(spark):
     assert rows(reports.chat_activity(m, m, m.limit(0), date(2024, 1, 1)), "kind") == [("mention",), ("sent",)]
     meetings = frame(spark, [(1, datetime(2024, 1, 1), True, "s"), (2, datetime(2024, 1, 1), False, None)], "meeting_id long, ended_at timestamp, has_summary boolean, summary string")
     assert rows(reports.meetings_to_export(meetings, date(2024, 1, 1)), "meeting_id") == [(1,)]
-    assert reports.cards(frame(spark, [("a",), ("b",)], "card_id string"), ["b"]).count() == 1
+    cards = frame(spark, [("a", "Red Fox"), ("b", None), ("c", "fox")], "card_id string, title string")
+    assert rows(reports.cards(cards, ["b"]), "card_id") == [("b",)]
+    assert rows(reports.cards(cards, ["b"], "fox, RED"), "card_id") == [("a",), ("b",)]
+    assert reports.cards(cards, keyword="?").count() == 0
     turns = frame(spark, [(1, 1, "assistant", None), (1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
     assert reports.transcripts(turns).first().transcript == "user: hi\nassistant: "
 
@@ -279,3 +286,41 @@ def test_streaming(spark, tmp_path):
 def test_text_functions(spark):
     got = frame(spark, [("É-a b_1!",)], "t string").select(T.tokens(F.col("t"))).first()[0]
     assert got == ["é", "a", "b", "1"]
+
+
+def test_fallback_and_references(spark):
+    found = frame(spark, [(1, 10, 1, "low", False), (2, 11, 1, "high", None), (2, 12, 2, "low", False), (3, 11, 1, None, True), (4, 12, 1, "high", False)], "doc_id long, item_id long, rank int, confidence string, needs_precision boolean")
+    claims = frame(spark, [(11, "a", "x"), (12, "a", "y"), (12, "a", None), (10, "a", None)], "item_id long, attribute string, value string")
+    got = rows(retrieval.fallback(found, claims), "doc_id", "low", "imprecise", "contradicting", "raw")
+    assert got == [(1, True, False, False, True), (2, False, False, True, True), (3, False, True, False, True), (4, False, False, False, False)]
+    pages = frame(spark, [("p", "low"), ("q", "high"), ("r", None)], "page string, confidence string")
+    refs = frame(spark, [("p", "s1"), ("p", "s1"), ("p", "none"), ("q", "s1"), ("r", "s1")], "page string, path string")
+    assert rows(retrieval.referenced(pages, refs, manifest(spark, [("s1", "h")])), "page", "path", "sha256") == [("p", "s1", "h")]
+
+
+def test_embedding_hook(spark):
+    docs = frame(spark, [(1, "ab"), (2, None)], "doc_id long, text string")
+    got = retrieval.embedded(docs, "doc_id", lambda t: F.array(F.length(t), F.lit(1)))
+    assert rows(got, "doc_id", "dim", "w") == [(1, 0, 2.0), (1, 1, 1.0), (2, 1, 1.0)]
+    assert rows(retrieval.embedded(docs, "doc_id").groupBy("doc_id").agg(F.sum("w").alias("w")), "doc_id", "w") == [(1, 1.0)]
+
+
+def test_packet_queue_and_neighbours(spark):
+    found = frame(spark, [(1, 10, 5.0, 1), (1, 11, 4.0, 2), (2, 12, 1.0, 1)], "doc_id long, item_id long, score double, rank int")
+    sources = frame(spark, [(1,), (2,), (3,)], "doc_id long")
+    assert rows(packet.unmatched(sources, found, 1.0), "doc_id", "score") == [(2, 1.0), (3, 0.0)]
+    edges = frame(spark, [(10, 20), (20, 11), (11, 10), (12, 12), (30, 12)], "src long, dst long")
+    assert rows(packet.neighbours(found, edges), "doc_id", "item_id", "via") == [(1, 20, 10), (2, 30, 12)]
+
+
+def test_catalog_changes(spark):
+    entries = graph.catalog_entries(frame(spark, [("clients/acme.md",), ("top.md",)], "path string"))
+    assert rows(entries, "heading", "target") == [("", "top"), ("clients", "clients/acme")]
+    catalog = frame(spark, [("clients", "clients/acme"), ("tools", "tools/old")], "heading string, target string")
+    assert rows(graph.catalog_changes(entries, catalog), "target", "action") == [("tools/old", "remove"), ("top", "add")]
+    assert graph.catalog_changes(entries, entries).count() == 0
+
+
+def test_opportunities(spark):
+    metrics = frame(spark, [("m", "a", 1.0), ("m", "b", 0.0), ("m", "c", 0.0), ("m", "d", None)], "metric string, subject string, value double")
+    assert rows(reports.opportunities(metrics, 2), "subject", "rank", "lacks") == [("b", 1, 0.333333), ("c", 2, 0.333333)]
