@@ -517,12 +517,12 @@ def raw_fallback(spark, d):
     return retrieval.fallback(found, claims)
 
 
-@query(f"""WITH {LINKS}, {WIKI} SELECT DISTINCT l.page_id AS page, l.target AS path, sha256(p.html) AS sha256 FROM links l JOIN wiki ON page = page_id AND author = ''
-JOIN pages p ON regexp_replace(p.url, '[#?].*$', '') = l.target""")
+@query(f"""WITH {PACKET} SELECT DISTINCT item_id AS page, path, sha256 FROM cand JOIN inv USING (doc_id) WHERE item_id % 3 = 0""")
 def reference_evidence(spark, d):
-    pages = V.wiki(spark, d).select("page", F.when(F.col("author") == "", "low").otherwise("high").alias("confidence"))
-    sources = V.table(spark, d, "pages").select(graph.address(F.col("url")).alias("path"), F.sha2("html", 256).alias("sha256")).distinct()
-    return retrieval.referenced(pages, V.links(spark, d).select(F.col("page_id").alias("page"), F.col("target").alias("path")), sources)
+    pages = V.table(spark, d, "benchmark").select(F.col("item_id").alias("page"), F.when(F.col("item_id") % 3 == 0, "low").otherwise("high").alias("confidence"))
+    paths = V.table(spark, d, "documents").select("doc_id", V.path().alias("path"))
+    references = V.candidates(spark, d).select("doc_id", F.col("item_id").alias("page")).join(paths, "doc_id")
+    return retrieval.referenced(pages, references, V.inventory(spark, d))
 
 
 @query(f"SELECT doc_id, cast('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS dim, count(*)::DOUBLE AS w FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL")
@@ -540,10 +540,10 @@ def catalog_changes(spark, d):
     return graph.catalog_changes(pages.select(heading, at.alias("target")), pages.filter("page_id % 10 <> 0").select(heading, listed.alias("target")))
 
 
-@query(f"SELECT p_partkey::VARCHAR AS card_id, p_name AS title FROM part WHERE p_partkey IN (3, 5) OR list_has_all({TOKENS.format('p_name')}, ['part', '7'])")
+@query(f"SELECT p_partkey::VARCHAR AS card_id, p_name AS title FROM part WHERE p_partkey IN (3, 5) OR list_has_all({TOKENS.format('p_name')}, ['widget', 'red'])")
 def card_search(spark, d):
     all_cards = V.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("card_id"), F.col("p_name").alias("title"))
-    return reports.cards(all_cards, ["3", "5"], "Part 7")
+    return reports.cards(all_cards, ["3", "5"], "Widget, RED")
 
 
 @query("""WITH o AS (SELECT source AS subject, avg(quality) AS quality, 1 - avg(toxic) AS civility FROM documents JOIN labels USING (doc_id) GROUP BY ALL),
