@@ -29,23 +29,26 @@ def top(scored: DataFrame, query: str, doc: str, k: int, score: str = "score") -
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
     """(query, doc, score, rank).
 
-    Tokens that no query has end where they are scanned, as long as the query
-    terms can be broadcast. The postings left are brought together by document
-    once; scores and the first cut to k are made there, so only the best of
-    each partition are shuffled by query.
+    One scan counts the query terms of each document and, under a null term, all
+    its other tokens together, so lengths come from the same small table. The
+    query terms are broadcast if they are few enough; they bound what else is.
+    Postings are brought together by document once; scores and the first cut to
+    k are made there, so only the best of each partition are shuffled by query.
     """
     words = T.tokens(F.col("text"))
-    terms = small(queries.select(query, F.explode(F.array_distinct(words)).alias("term")), BROADCAST_ROWS, "query-terms")
-    wanted = small(terms.select("term").distinct(), BROADCAST_ROWS, "wanted-terms")
-    lengths = stage(docs.select(doc, F.size(words).cast("long").alias("dl")).groupBy(doc).agg(F.sum("dl").alias("dl"), F.count("*").alias("rows")), "lengths")
-    whole = lengths.agg(F.sum("rows").alias("n"), F.sum("dl").cast("double").alias("total"))
-    found = docs.select(doc, F.explode(words).alias("term")).join(wanted, "term", "left_semi")
-    postings = stage(found.groupBy(doc, "term").agg(F.count("*").alias("tf")), "postings")
-    df = small(postings.groupBy("term").agg(F.count("*").alias("df")), BROADCAST_ROWS, "frequencies")
+    terms = stage(queries.select(query, F.explode(F.array_distinct(words)).alias("term")), "query-terms")
+    few = F.broadcast if terms.count() <= BROADCAST_ROWS else (lambda d: d)
+    wanted = few(terms.select(F.col("term").alias("wanted")).distinct())
+    counted = docs.select(doc, F.explode(words).alias("word")).join(wanted, F.col("word") == F.col("wanted"), "left")
+    counts = stage(counted.groupBy(doc, F.col("wanted").alias("term")).agg(F.count("*").alias("tf")), "term-counts")
+    lengths = counts.groupBy(doc).agg(F.sum("tf").alias("dl"))
+    postings = counts.filter("term is not null")
+    df = few(postings.groupBy("term").agg(F.count("*").alias("df")))
+    whole = docs.agg(F.count("*").alias("n")).crossJoin(counts.agg(F.sum("tf").cast("double").alias("total")))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("total") / F.col("n"))))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = postings.hint("merge").join(lengths.select(doc, "dl"), doc).join(df, "term").crossJoin(F.broadcast(whole)).select(doc, "term", (idf * norm).alias("w"))
-    scored = weighted.join(terms, "term").groupBy(query, doc).agg(F.round(F.sum("w"), 4).alias("score"))
+    weighted = postings.hint("merge").join(lengths, doc).join(df, "term").crossJoin(F.broadcast(whole)).select(doc, "term", (idf * norm).alias("w"))
+    scored = weighted.join(few(terms), "term").groupBy(query, doc).agg(F.round(F.sum("w"), 4).alias("score"))
     return top(scored, query, doc, k)
 
 
