@@ -16,10 +16,10 @@ Equal texts (the same words) are one node, so large groups of copies cost one
 row. A bucket's members are compared with its pivot, its smallest node, and not
 with each other. Where that leaves the members of a bucket in several classes,
 the members of all such buckets with one pivot are compared in blocks: each task
-gets two blocks of at most about ``BLOCK`` texts, counts all their common
-shingles by a matrix product, and returns a spanning forest of the links it
-finds. So no link within a bucket is lost, pairs are never rows, and no task
-holds a group.
+gets two blocks of at most about ``BLOCK`` texts and ``BLOCK_CHARS`` characters
+(one text at least), counts all their common shingles by a matrix product, and
+returns a spanning forest of the links it finds. So no link
+within a bucket is lost, pairs are never rows, and no task holds a group.
 
 Defined results: a text of one to four words is one shingle of all its words;
 null and empty texts have no shingles and are equal to each other; rows that
@@ -46,8 +46,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
 #: Characters of text worked on together.
 CHUNK = 1 << 20
-#: Texts in a block, about, and columns of a block's matrix.
-BLOCK, COLUMNS = 128, 8192
+#: Texts in a block and their characters, about, and columns of a block's matrix.
+BLOCK, BLOCK_CHARS, COLUMNS = 128, 1 << 24, 8192
 #: Ids of candidates are broadcast up to this many (of 8 bytes); beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -248,7 +248,9 @@ def _compare_blocks(frame):
 
 def compared_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between different classes among (pivot, node, label), of nodes with the same pivot."""
-    sizes = stage(members.groupBy("pivot").agg(F.count("*").alias("n")).select("pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-group-sizes")
+    lengths = texts.select("node", F.length("text").alias("chars")).groupBy("node").agg(F.max("chars").alias("chars"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int")
+    sizes = stage(members.join(lengths, "node").groupBy("pivot").agg(blocks.alias("blocks")), "near-group-sizes")
     dealt = members.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     pair = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) as one, greatest(k, block) as two))")
     rows = dealt.select("pivot", "node", "label", "block", F.explode(pair).alias("p")).select("pivot", "node", "label", "block", "p.one", "p.two")

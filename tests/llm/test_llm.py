@@ -91,8 +91,10 @@ def test_probminhash_estimates_probability_jaccard():
     assert abs((s[0] == s[1]).mean() - exact) < 0.04
 
 
-def test_near_dedup_of_a_chain_in_one_bucket(spark):
-    """Members that only a text other than the pivot is near to are still found."""
+@pytest.mark.parametrize("chars", [near_dedup.BLOCK_CHARS, 6000])
+def test_near_dedup_of_a_chain_in_one_bucket(spark, monkeypatch, chars):
+    """Members that only a text other than the pivot is near to are still found, in one block or in several."""
+    monkeypatch.setattr(near_dedup, "BLOCK_CHARS", chars)
     base = ["w%d" % i for i in range(300)]
     texts = []
     for k in range(24):
