@@ -6,14 +6,20 @@ has a node for, of up to ``DEPTH`` bytes; at a text's start the context is the
 end mark. Counts come from all training texts: each partition counts its
 (context, next byte) windows, the sums are made by one shuffle.
 
-A context becomes a node if it is frequent (``P_NODE`` of all bytes) and its
-divergence test passes: the information its next-byte distribution has beyond
-that of the next shorter context, weighted by its frequency, reaches
-``DIVERGENCE`` (nats). All suffixes of a node are nodes. A node's distribution is
-smoothed by its parent's with ``MASS`` virtual counts per kind of next byte; next
-bytes rarer than ``P_NEXT`` of all bytes are left to the parent. The thresholds
-are shares of the corpus, so that at most 1/P_NODE nodes of a depth and 1/P_NEXT
-next bytes exist at any size: that bounds what is broadcast.
+A context becomes a node if it occurs ``LEAST`` times and its divergence test
+passes: the information its next-byte distribution has beyond that of the next
+shorter context, over all its occurrences, reaches ``DIVERGENCE`` (nats). All
+suffixes of a node are nodes, as are contexts of one and two bytes that occur
+``LEAST`` times. A node names every next byte it was seen with; its distribution
+is smoothed by its parent's with ``MASS`` virtual counts per kind of next byte.
+These are counts and not shares, so the tree grows with the corpus.
+
+The tree is never gathered: windows are dealt out by the ``SHARD`` bytes before
+the predicted one, which they share with all suffixes of two bytes and more that
+their nodes have. Only the counts of windows of three bytes, at most 256^3, are
+sent to every task. Each task gives its windows, those of texts held out too, their log
+probabilities. Windows of at least ``P_HEAD`` of all, so at most 1/P_HEAD, are
+broadcast with theirs; the others are joined to theirs.
 
 Beside it stands the base score by the words' own frequencies. Words that are
 rarer than ``P_WORD`` are joined to their counts; the others, at most 1/P_WORD,
@@ -41,8 +47,9 @@ from stratadoc.llm._shared import bound_batches, chunks, stage, table, task
 
 FOLDS = 10
 DEPTH = 5
-P_NODE, P_NEXT, DIVERGENCE, MASS = 2e-6, 5e-7, 1e-8, 0.5
-P_WORD = 5e-7
+SHARD = 3
+LEAST, DIVERGENCE, MASS = 2, 5.0, 0.5
+P_WORD, P_HEAD = 5e-7, 2e-7
 END = b"\n"
 #: Characters read together; distinct words and windows that a task holds before it hands them on.
 CHUNK, MOST_WORDS, MOST_WINDOWS = 1 << 21, 500_000, 3_000_000
@@ -124,7 +131,7 @@ class Tree:
         zero[nexts[0][0]] = nexts[0][1]
         total = max(zero.sum(), 1)
         self.zero = np.log10((zero + 1) / (total + 256)).astype(np.float32)
-        # Divergence tests, shallow to deep; then the suffixes of what stays.
+        # Divergence tests, shallow to deep (below SHARD all stay, as no task knows all that is above); then the suffixes of what stays.
         stay: list[np.ndarray] = [np.zeros(1, np.int64)]
         for d in range(1, DEPTH + 1):
             ctx, count, _ = nodes[d]
@@ -138,9 +145,9 @@ class Tree:
             own = count[np.searchsorted(ctx, key >> 8)]
             at = np.searchsorted(shorter_key, key & _mask(d)) if len(shorter_key) else np.zeros(len(key), np.int64)
             q = shorter_n[np.minimum(at, len(shorter_key) - 1)] / shorter_count[np.searchsorted(shorter_ctx, (key >> 8) & _mask(d - 1))]
-            gain = n / total * np.log(n / own / q)
+            gain = n * np.log(n / own / q)
             information = np.bincount(np.searchsorted(ctx, key >> 8), gain, len(ctx))
-            stay.append(ctx[information >= DIVERGENCE])
+            stay.append(ctx[information >= DIVERGENCE] if d >= SHARD else ctx)
         for d in range(DEPTH, 1, -1):
             stay[d - 1] = np.union1d(stay[d - 1], stay[d] & _mask(d - 1))
         keys, values = [], []
@@ -229,7 +236,7 @@ def _batches(columns: list[list], schema: pa.Schema):
 
 @task("suffix_tree")
 def _count(batches):
-    """Of a task's training texts: windows and words with their counts. The END word counts the texts."""
+    """Of a task's texts: windows and words with their counts in training texts, so 0 for windows of others alone. The END word counts the texts."""
     seen, found, held = Counter(), [], 0
 
     def hand_words():
@@ -245,16 +252,21 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.nulls(len(keys[part]), pa.binary()), pa.array(n[part])], schema=_COUNTS)
 
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
+        texts, trains = [t or "" for t in batch.column("text").to_pylist()], batch.column("train").to_pylist()
         for a, b in chunks(texts, CHUNK):
-            each = [words(t) for t in texts[a:b]]
-            for w in each:
+            both: tuple[list, list] = ([], [])
+            for t, train in zip(texts[a:b], trains[a:b]):
+                both[train].append(words(t))
+            for w in both[1]:
                 seen.update(w)
-            seen[END] += len(each)
-            data, _, places = streams(each)
-            keys, n = np.unique(windows(data, places), return_counts=True)
-            found.append((keys, n))
-            held += len(keys)
+            if both[1]:
+                seen[END] += len(both[1])
+            for train, each in enumerate(both):
+                if each:
+                    data, _, places = streams(each)
+                    keys, n = np.unique(windows(data, places), return_counts=True)
+                    found.append((keys, n * train))
+                    held += len(keys)
             if held > MOST_WINDOWS:
                 found[:] = [merged(found)]
                 held = len(found[0][0])
@@ -269,11 +281,44 @@ def _count(batches):
         yield from hand_words()
 
 
+_LOGS = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("log", pa.float32())])
+
+
+def levels(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list, list]:
+    """By depth the (context and next byte, count) and the (context, count, kinds) of contexts that occur LEAST times."""
+    nexts, nodes = [], []
+    for d, (key, n) in enumerate(parts):
+        ctx, at = np.unique(key >> 8, return_inverse=True)
+        count, kinds = np.bincount(at, n, len(ctx)).astype(np.int64), np.bincount(at, minlength=len(ctx))
+        often = (count >= LEAST) | (d == 0)
+        nexts.append((key[often[at]], n[often[at]]))
+        nodes.append((ctx[often], count[often], kinds[often]))
+    return nexts, nodes
+
+
+def _learned(shipped):
+    @task("suffix_tree")
+    def run(batches):
+        """Of all windows with the same SHARD bytes before the predicted one: their log10 probabilities."""
+        parts = [(b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches]
+        if not sum(len(k) for k, _ in parts):
+            return
+        grams, n = merged(parts)
+        seen = n > 0
+        own = [merged([(grams[seen] & _mask(d + 1), n[seen])]) for d in range(SHARD, DEPTH + 1)]
+        logs = Tree(*levels(shipped.value + own)).logs(grams)
+        for i in range(0, len(grams), ROWS):
+            part = slice(i, i + ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[part]), pa.array(n[part]), pa.array(logs[part])], schema=_LOGS)
+
+    return run
+
+
 class Lookup:
-    """What scoring needs on every worker: the tree, and the terms of the frequent words."""
+    """What scoring needs on every worker: the log probabilities of the frequent windows, and the terms of the frequent words."""
 
-    def __init__(self, tree: Tree, tokens: int, distinct: int, frequent: dict[bytes, int]):
-        self.tree = tree
+    def __init__(self, head: Table, tokens: int, distinct: int, frequent: dict[bytes, int]):
+        self.head = head
         self.scale = tokens + 0.1 * (distinct + 1)
         self.terms = {w: math.log10((c + 0.1) / self.scale) for w, c in frequent.items() if w != END}
         self.end = math.log10((frequent.get(END, 0) + 0.1) / self.scale)
@@ -284,6 +329,16 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int32()), ("word", pa.bina
 _ROWS_SQL = "doc_id long, tie int, word binary, n int, of struct<n_tokens:long,n_known:long,base:double,score:double>"
 
 
+def _keys(grams: np.ndarray) -> pa.Array:
+    """END and the six bytes of each window: a key that no word has."""
+    wide = np.empty((len(grams), DEPTH + 2), np.uint8)
+    wide[:, 0] = END[0]
+    for k in range(DEPTH + 1):
+        wide[:, 1 + k] = grams >> (8 * (DEPTH - k)) & 255
+    ends = np.arange(len(grams) + 1, dtype=np.int32) * (DEPTH + 2)
+    return pa.Array.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer(ends), pa.py_buffer(wide)])
+
+
 def _score(shipped):
     @task("suffix_tree")
     def run(batches):
@@ -293,11 +348,15 @@ def _score(shipped):
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             for a, b in chunks(texts, CHUNK):
                 each = [words(t) for t in texts[a:b]]
-                scores = look.tree.scores(each)
+                data, starts, places = streams(each)
+                window = windows(data, places)
+                found, logs = look.head.get(window)
+                scores = np.add.reduceat(logs.astype(np.float64), starts[:-1] - DEPTH * np.arange(len(each)))
+                rest, of = window[~found], np.repeat(np.arange(a, b), np.diff(starts) - DEPTH)[~found]
                 out: list[list] = [[], [], [], [], []]
                 add = [c.append for c in out]
-                for doc, text, w, s in zip(ids[a:b], texts[a:b], each, scores):
-                    tie = xxhash.xxh32_intdigest(text.encode()) - (1 << 31)
+                ties = [xxhash.xxh32_intdigest(t.encode()) - (1 << 31) for t in texts[a:b]]
+                for doc, tie, w, s in zip(ids[a:b], ties, each, scores):
                     base, known = look.end, look.end_known
                     for word, n in Counter(w).items():
                         term = terms.get(word)
@@ -310,53 +369,53 @@ def _score(shipped):
                     add[0](doc), add[1](tie), add[2](b" %d %d" % (doc or 0, tie)), add[3](0)
                     add[4]({"n_tokens": len(w) + 1, "n_known": known, "base": base, "score": float(s)})
                 yield from _batches(out, _ROWS)
+                docs, tied = batch.column("doc_id"), pa.array(ties, pa.int32())
+                for i in range(0, len(rest), ROWS):
+                    at = of[i : i + ROWS]
+                    one = pa.array(np.ones(len(at), np.int32))
+                    yield pa.RecordBatch.from_arrays([docs.take(pa.array(at)), tied.take(pa.array(at - a)), _keys(rest[i : i + ROWS]), one, pa.nulls(len(at), _ROWS.field("of").type)], schema=_ROWS)
 
     return run
 
 
 def learn(docs: DataFrame) -> tuple[Lookup, DataFrame, int]:
-    """The lookup, the table of word counts (word, c), and the number of training tokens."""
-    bound_batches(docs.sparkSession, 4)
-    counted = docs.filter(training()).select("text").mapInArrow(_count, "gram long, word binary, n long")
+    """The lookup, the table (word, c, log) of word counts and of the other windows, and the number of training tokens."""
+    spark = docs.sparkSession
+    bound_batches(spark, 4)
+    counted = docs.select("text", training().alias("train")).mapInArrow(_count, "gram long, word binary, n long")
     counts = stage(counted.groupBy("gram", "word").agg(F.sum("n").alias("n")), "lm-counts")
-    by_word = counts.filter("word is not null").select("word", F.col("n").alias("c"))
+    by_word = counts.filter("word is not null").select("word", F.col("n").alias("c"), F.lit(None).cast("float").alias("log"))
     tokens, distinct = by_word.agg(F.sum("c"), F.count("*")).first()
     tokens = tokens or 0
     frequent = by_word.filter((F.col("c") >= P_WORD * tokens) | (F.col("word") == F.lit(END))).toArrow()
     frequent = dict(zip(frequent["word"].to_pylist(), frequent["c"].to_pylist()))
-    level = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("gram").bitwiseAND(F.lit(_mask(d + 1))).alias("key")) for d in range(DEPTH + 1)]))
-    levels = stage(counts.filter("gram is not null").select(level.alias("x"), "n").groupBy("x.d", "x.key").agg(F.sum("n").alias("n")), "lm-levels")
-    total = levels.filter("d = 0").agg(F.sum("n")).first()[0] or 0
-    nexts = levels.filter((F.col("n") >= P_NEXT * total) | (F.col("d") == 0)).toArrow().to_pandas()
-    contexts = (
-        levels.groupBy("d", F.shiftright("key", 8).alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-        .filter(F.col("n") >= P_NODE * total).toArrow().to_pandas()
-    )
-    by_depth, ctx_depth = [], []
-    for d in range(DEPTH + 1):
-        c = contexts[contexts.d == d].sort_values("key")
-        x = nexts[nexts.d == d].sort_values("key")
-        x = x[np.isin(x.key.to_numpy() >> 8, c.key.to_numpy())]
-        by_depth.append((x.key.to_numpy(np.int64), x.n.to_numpy(np.int64)))
-        ctx_depth.append((c.key.to_numpy(np.int64), c.n.to_numpy(np.int64), c.kinds.to_numpy(np.int64)))
-    return Lookup(Tree(by_depth, ctx_depth), tokens, distinct, frequent), by_word, tokens
+    grams = counts.filter("gram is not null").select("gram", "n")
+    short = grams.filter("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit(_mask(SHARD))).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    key, n = short["key"].to_numpy(), short["n"].to_numpy()
+    shallow = spark.sparkContext.broadcast([merged([(key & _mask(d + 1), n)]) for d in range(SHARD)])  # at most 256^SHARD
+    dealt = grams.repartition(F.shiftright("gram", 8).bitwiseAND(F.lit(_mask(SHARD))))
+    logs = stage(dealt.mapInArrow(_learned(shallow), "gram long, n long, log float"), "lm-logs")
+    often = F.col("n") >= max(1, P_HEAD * int(n.sum()))
+    head = logs.filter(often).select("gram", "log").toArrow()
+    rest = logs.filter(~often).select(F.concat(F.lit(END), F.unhex(F.lpad(F.hex("gram"), 2 * DEPTH + 2, "0"))).alias("word"), F.lit(None).cast("long").alias("c"), "log")
+    return Lookup(Table(head["gram"].to_numpy(), head["log"].to_numpy()), tokens, distinct, frequent), by_word.unionByName(rest), tokens
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    look, by_word, tokens = learn(docs)
+    look, by_key, tokens = learn(docs)
     shipped = docs.sparkSession.sparkContext.broadcast(look)  # bounded by the shares above
     rows = docs.mapInArrow(_score(shipped), _ROWS_SQL)
     term = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(look.scale)) * F.col("n")
-    rows = rows.join(by_word, "word", "left")
+    rows = rows.join(by_key, "word", "left")
     one = (
         rows.groupBy("doc_id", "tie").agg(
             F.sum(F.when(F.col("of").isNotNull(), 1)).alias("copies"),
             F.sum("of.n_tokens").alias("n_tokens"),
             F.sum(F.coalesce("of.n_known", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).cast("long").alias("n_known"),
-            F.sum(F.coalesce("of.base", term)).alias("base_score"),
-            F.sum("of.score").alias("score"),
+            F.sum(F.when(F.col("log").isNull(), F.coalesce("of.base", term))).alias("base_score"),
+            F.sum(F.coalesce("of.score", F.col("n") * F.col("log").cast("double"))).alias("score"),
         )
     )
     # Rows that repeat an id and a text came together: each gets its share.

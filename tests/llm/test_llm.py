@@ -405,6 +405,36 @@ def test_tree_is_a_distribution_and_uses_the_longest_node(spark):
     assert logs.sum() > 0.8 * flat
 
 
+def test_scores_are_those_of_the_whole_tree(spark, monkeypatch):
+    """A context that few texts of a large corpus have counts too, whether its windows are broadcast or joined."""
+    r = random.Random(12)
+    texts = [" ".join(words(r, 1500)) for _ in range(400)]
+    for i in (11, 12, 13, 14):
+        texts[i] += " zqxvk" * 2
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    texts[held[0]] += " zqxvk zqxvj"
+    each = [t.encode().split() for t in texts]
+    data, _, places = suffix_tree.streams([w for i, w in enumerate(each) if i not in held])
+    key, n = np.unique(suffix_tree.windows(data, places), return_counts=True)
+    nexts, nodes = [], []
+    for d in range(suffix_tree.DEPTH + 1):
+        k, m = suffix_tree.merged([(key & suffix_tree._mask(d + 1), n)])
+        ctx, at = np.unique(k >> 8, return_inverse=True)
+        count = np.bincount(at, m).astype(np.int64)
+        often = (count >= 2) | (d == 0)
+        nexts.append((k[often[at]], m[often[at]]))
+        nodes.append((ctx[often], count[often], np.bincount(at)[often]))
+    tree = suffix_tree.Tree(nexts, nodes)
+    want = tree.scores(each)
+    assert tree.logs(np.array([int.from_bytes(b" zqxvk", "big")]))[0] > -0.2
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for share in (None, 1e-4):
+        if share:
+            monkeypatch.setattr(suffix_tree, "P_HEAD", share)
+        got = {x.doc_id: x.score for x in suffix_tree.scored(frame).collect()}
+        assert max(abs(got[i] - want[i]) for i in got) < 0.01 and len(got) == 400
+
+
 def test_bpe_is_tiktoken(docs, rows, none):
     import public_tokenizers as P
     import tiktoken
