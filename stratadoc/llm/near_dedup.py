@@ -5,11 +5,14 @@ Each shingle is a Poisson process whose rate is its weight: its arrivals come at
 exponentially distributed distances, each at a random register, and a register
 keeps the shingle of its earliest arrival. A process ends as soon as its next
 arrival is later than all registers of the text. Two registers agree with the
-probability Jaccard similarity of the weighted shingles.
-
-``BANDS`` bands of ``ROWS`` registers give candidate buckets: a pair at 0.8 is
-in no common bucket with probability (1 - 0.8^6)^28 = 2e-4. Candidates are verified
-exactly: documents are linked if the Jaccard similarity of their shingle sets is
+probability Jaccard similarity of the weighted shingles. That can be far below
+the Jaccard similarity of the shingle sets where shingles repeat, so a text with
+repeated shingles has a second signature, with all weights 1, whose registers
+agree with the similarity of the sets. Texts without have one, as both are equal.
+
+``BANDS`` bands of ``ROWS`` registers of each signature give candidate buckets: a
+pair of sets at 0.8 is in no common bucket with probability at most
+(1 - 0.8^6)^28 = 2e-4. Candidates are verified exactly: documents are linked if the Jaccard similarity of their shingle sets is
 0.8 or more. Classes are the connected components of the links.
 
 Equal texts (the same words) are one node, so large groups of copies cost one
@@ -116,6 +119,18 @@ def buckets(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def candidate_buckets(n: int, text: np.ndarray, h: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of each text the buckets of its weighted signature, and of the one without weights where that differs."""
+    out = list(buckets(signatures(n, text, h, weight)))
+    repeats = np.unique(text[weight > 1])
+    if len(repeats):
+        own = np.isin(text, repeats)
+        plain = buckets(signatures(len(repeats), np.searchsorted(repeats, text[own]), h[own], np.ones(own.sum())))
+        for i, row in zip(repeats, plain):
+            out[i] = np.union1d(out[i], row)
+    return out
+
+
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
@@ -129,7 +144,7 @@ def _sign(batches):
             keys += [hashlib.md5(b" ".join(w)).digest() for w in each]
             with np.errstate(over="ignore"):
                 text, h, weight = shingles(each)
-            found = buckets(signatures(len(each), text, h, weight))
+            found = candidate_buckets(len(each), text, h, weight)
             bands += [row.tolist() if w else [] for row, w in zip(found, each)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
 

@@ -91,6 +91,17 @@ def test_probminhash_estimates_probability_jaccard():
     assert abs((s[0] == s[1]).mean() - exact) < 0.04
 
 
+def test_near_dedup_finds_pairs_whose_shingles_repeat_in_one_text_only(spark):
+    texts = []
+    for i in range(30):
+        w = [f"p{i}w{j}" for j in range(244)]
+        texts += [" ".join(w[:204]), " ".join(w[:204] + w[204:240] * 51)]
+    for a, b in zip(texts[::2], texts[1::2]):
+        assert near_dedup.jaccard(near_dedup.shingle_set(a), near_dedup.shingle_set(b)) >= 0.8
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert by_id(near_dedup.classes(frame), "class_id") == [(i, i - i % 2) for i in range(60)]
+
+
 @pytest.mark.parametrize("chars", [near_dedup.BLOCK_CHARS, 6000])
 def test_near_dedup_of_a_chain_in_one_bucket(spark, monkeypatch, chars):
     """Members that only a text other than the pivot is near to are still found, in one block or in several."""
