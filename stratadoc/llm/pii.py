@@ -29,6 +29,13 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country (ISO 13616); those of other countries may have any number from SHORTEST on.
+IBAN_LENGTH = {c: n for n, each in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}.items() for c in each.split()}
+SHORTEST = 15
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = 4
@@ -61,6 +68,23 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Matches up to the group at which they have their country's length and mod 97 holds, the longest first; the search goes on behind it."""
+    out, m = [], IBAN.search(text)
+    while m:
+        run = m[0]
+        length = IBAN_LENGTH.get(run[:2])
+        for end in [len(run), *(i for i in range(len(run) - 1, 0, -1) if run[i] == " ")]:
+            n = end - run.count(" ", 0, end)
+            if n >= SHORTEST and length in (None, n) and mod97(run[:end]):
+                out.append((m.start(), m.start() + end))
+                break
+        else:
+            end = 1
+        m = IBAN.search(text, m.start() + end)
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches, found from each "@": the characters before it back to the last match, the domain after it."""
     out, done, at = [], 0, text.find("@")
@@ -103,7 +127,7 @@ def find(text: str) -> list[tuple[int, int, int, float]]:
     """(kind, start, end, score) of every span, by kind and start."""
     spans = [(k, a, b) for k, each in enumerate(base_spans(text)) for a, b in each]
     if DIGITS.search(text):
-        spans += [(4, *m.span()) for m in IBAN.finditer(text) if mod97(m[0])]
+        spans += [(4, a, b) for a, b in ibans(text)]
         spans += [(5, *m.span()) for m in SSN.finditer(text)] if "-" in text else []
     scored = [(k, a, b, score(KINDS[k], text, a, b)) for k, a, b in spans]
     return [s for s in scored if s[0] < BASE or s[3] >= LEAST]

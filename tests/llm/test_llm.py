@@ -348,6 +348,20 @@ def test_pii_base_spans_are_those_of_the_patterns(spark, none):
     assert pii.scan(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("DE89 3704 0044 0532 0130 00 BIC: COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+        ("GB29 NWBK 6016 1331 9268 19 GBP 500", ["GB29 NWBK 6016 1331 9268 19"]),
+        ("DE89370400440532013000 2 days", ["DE89370400440532013000"]),
+        ("REF AB12 DE89370400440532013000 GB29NWBK60161331926819", ["DE89370400440532013000", "GB29NWBK60161331926819"]),
+        ("NO93 8601 1117 947 AND NO93 8601 1117 948 X", ["NO93 8601 1117 947"]),
+    ],
+)
+def test_an_iban_ends_at_its_own_length(text, want):
+    assert [text[a:b] for k, a, b, _ in pii.find(text) if pii.KINDS[k] == "iban"] == want
+
+
 def brute_secrets(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
