@@ -5,13 +5,15 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratadoc.functions.tables import discard, running, shared_dir, stage
+
+__all__ = ["discard", "running", "shared_dir", "stage", "bound_batches", "table", "text_or_empty", "chunks", "kept", "task", "with_hot", "SPACE", "WORD"]
+
 #: The white space of the word definition `[^\x20\x09-\x0D]+`.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,31 +22,6 @@ ARROW_ROWS = 500
 ARROW_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it. Where it is unset (local tests) a
-    temporary folder is made once and recorded in that setting.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="stratadoc-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs only the tasks that read from
-    the table, and a plan that uses the table twice computes it once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession, times: int = 1) -> None:
     """Keep Arrow batches small, as one row can hold megabytes of text; ``times`` makes them larger where counts are merged by batch."""
     for key, value in (
@@ -62,6 +39,28 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Rows of hot keys that are broadcast at most.
+HOT_KEYS = 100_000
+
+
+def with_hot(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """Joins ``rows`` to ``table``, which has one row a key and the key's rows in ``count``.
+
+    Keys that hold more than 1/HOT_KEYS of all rows are at most HOT_KEYS: they
+    are broadcast, so that their rows stay where they are. The others are joined
+    by a shuffle in which no key is large.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(1000, total / HOT_KEYS)
+    few = F.broadcast(table.filter(hot).withColumn("__hot", F.lit(True)))
+    if not table.filter(hot).head(1):
+        return rows.join(table, key, how)
+    marked = rows.join(few, key, "left")
+    found = marked.filter("__hot").drop("__hot")
+    rest = marked.filter("__hot is null").select(*rows.columns).join(table.filter(~hot), key, how)
+    return found.unionByName(rest)
+
+
 def chunks(texts: list[str], most: int):
     """Cut a list into (start, end) ranges of about ``most`` characters, one text at least."""
     start = size = 0

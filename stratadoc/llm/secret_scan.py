@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratadoc.llm._shared import stage, table, text_or_empty
+from stratadoc.llm._shared import stage, table, text_or_empty, with_hot
 
 # The patterns of the kinds, in the order in which equal starts are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,36 +33,32 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 SHARED_OWNERS = 2
 
 
-#: Expressions over column ``t``. The first occurrence of a match's text at or after the end of the match before
-#: is the match itself: the patterns look at nothing outside a match, so its text matches wherever it occurs, and
-#: matches are leftmost.
-SPANS = """
-aggregate({found}, named_struct('at', 1, 'out', cast(array() as array<struct<start:int,end:int,kind:int,match:string>>)),
-  (acc, m) -> named_struct(
-    'at', locate(m, t, acc.at) + length(m),
-    'out', concat(acc.out, array(named_struct('start', locate(m, t, acc.at) - 1, 'end', locate(m, t, acc.at) - 1 + length(m), 'kind', {kind}, 'match', m)))),
-  acc -> acc.out)
-"""
+#: Sums of an array of numbers up to and with each place, by doubling steps: n log n, and no row leaves its task.
+SUMS = "aggregate(sequence(0, 30), {a}, (acc, k) -> if(size(acc) > shiftleft(1, k), transform(acc, (x, i) -> x + if(i >= shiftleft(1, k), acc[i - shiftleft(1, k)], 0)), acc))"
 
 
 def _literal(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
-def _matches(pattern: str, kind: int) -> str:
-    found = f"regexp_extract_all(t, {_literal(pattern)}, 0)"
-    return SPANS.format(found=found, kind=kind)
-
-
 def candidates(docs: DataFrame) -> DataFrame:
-    """Adds ``spans``, an array of (start, end, kind, match), ordered by start and kind, to column ``t``."""
-    parts = {
-        "assign": f"filter({_matches(ASSIGN, 0)}, x -> length(regexp_extract(x.match, {_literal(ASSIGN)}, 2)) >= {ASSIGN_LEAST})",
-        "access": f"filter({_matches(ACCESS, 1)}, x -> length(x.match) >= {ACCESS_LEAST})",
-        "hex": _matches(HEX, 2),
-        "vendor": _matches(VENDOR, 3),
-    }
-    return docs.withColumn("spans", F.expr(f"array_sort(concat({', '.join(parts.values())}))"))
+    """Adds ``spans``, an array of (start, end, kind, match), ordered by start and kind, to column ``t``.
+
+    The pieces between matches are what a split by the pattern leaves, so the end
+    of a match is the sum of all pieces and matches up to it.
+    """
+    patterns = (ASSIGN, ACCESS, HEX, VENDOR)
+    for k, p in enumerate(patterns):
+        docs = docs.withColumn(f"m{k}", F.expr(f"regexp_extract_all(t, {_literal(p)}, 0)"))
+    for k, p in enumerate(patterns):
+        steps = f"transform(slice(split(t, {_literal(p)}, -1), 1, size(m{k})), (x, i) -> length(x) + length(m{k}[i]))"
+        docs = docs.withColumn(f"e{k}", F.expr(f"if(size(m{k}) = 0, cast(array() as array<int>), {SUMS.format(a=steps)})"))
+    parts = [f"transform(m{k}, (m, i) -> named_struct('start', e{k}[i] - length(m), 'end', e{k}[i], 'kind', {k}, 'match', m))" for k in range(len(patterns))]
+    keep = (
+        f"filter({parts[0]}, x -> length(regexp_extract(x.match, {_literal(ASSIGN)}, 2)) >= {ASSIGN_LEAST})",
+        f"filter({parts[1]}, x -> length(x.match) >= {ACCESS_LEAST})", parts[2], parts[3],
+    )
+    return docs.withColumn("spans", F.expr(f"array_sort(concat({', '.join(keep)}))"))
 
 
 def _joined(spans: str) -> str:
@@ -91,11 +87,11 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source") ->
         "secret-spans",
     )
     each = found.filter("size(hashes) > 0").select("row", "repo", "owner", F.explode("hashes").alias("hash"))
-    owners = each.groupBy("hash", "owner").agg(F.lit(1).alias("x")).groupBy("hash").agg(F.count("*").alias("n_owners"))
+    owners = each.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_rows"))
     repos = each.groupBy("hash", "repo").agg(F.lit(1).alias("x")).groupBy("hash").agg(F.count("*").alias("n_repos"))
     owned = stage(owners.join(repos, "hash"), "secret-owners")
     per_row = (
-        each.select("row", "hash").join(owned, "hash")
+        with_hot(each.select("row", "hash"), owned, "hash", "n_rows")
         .groupBy("row").agg(
             F.count_if(F.col("n_owners") < SHARED_OWNERS).alias("n_live"),
             F.count_if(F.col("n_owners") >= SHARED_OWNERS).alias("n_shared"),

@@ -392,6 +392,22 @@ def test_secret_scan(spark, none):
     assert secret_scan.scan(none).count() == 0
 
 
+def test_secrets_of_a_long_text_and_of_a_hot_value(spark, monkeypatch):
+    """Two megabytes of spans, clashing columns, and a value that most rows hold."""
+    from stratadoc.llm import _shared
+
+    value = lambda i: hashlib.md5(b"%d" % i).hexdigest()
+    long = " é ".join(value(i) for i in range(60000))
+    rows = [(0, long, "a", "x", "x")] + [(i, "token=" + "Q" * 20 if i % 3 else "key " + value(i), "ab"[i % 2], "x", "x") for i in range(1, 4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, spans string, t string")
+    for most in (_shared.HOT_KEYS, 2):
+        monkeypatch.setattr(_shared, "HOT_KEYS", most)
+        got = {x.doc_id: x for x in secret_scan.scan(frame).collect()}
+        assert len(got) == 4000 and got[0].n_hex == 60000 and got[0].spans.endswith("hex:%d:%d" % (len(long) - 32, len(long)))
+        assert got[0].base_sha256 == hashlib.sha256(",".join(f"hex:{35 * i}:{35 * i + 32}" for i in range(60000)).encode()).hexdigest()
+        assert (got[1].n_live, got[1].n_shared, got[1].most_repositories) == (0, 1, 2666) and (got[3].n_live, got[3].n_shared) == (0, 1)
+
+
 def test_language_model(docs, rows, none):
     tokens = [[w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] for _, t, *_ in rows]
     train = [w for (i, *_), w in zip(rows, tokens) if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
