@@ -75,3 +75,25 @@ def running(df: DataFrame, order: list, sums: dict, name: str = "running") -> Da
     rows = ranged.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items()])
     joined = rows.join(F.broadcast(ahead), "__range")
     return joined.select(*df.columns, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in sums])
+
+
+#: Rows of hot keys that are broadcast at most.
+HOT_KEYS = 100_000
+
+
+def with_hot(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """Joins ``rows`` to ``table``, which has one row a key and in ``count`` how many rows the key has.
+
+    Keys that hold more than 1/HOT_KEYS of all rows are at most HOT_KEYS: they
+    are broadcast, so that their rows stay where they are. The others are joined
+    by a shuffle in which no key is large.
+    """
+    total, most = table.agg(F.sum(count), F.max(count)).first()
+    least = max(1000, (total or 0) / HOT_KEYS)
+    if (most or 0) <= least:
+        return rows.join(table, key, how)
+    hot = F.col(count) > least
+    marked = rows.join(F.broadcast(table.filter(hot).withColumn("__hot", F.lit(True))), key, "left")
+    found = marked.filter("__hot").drop("__hot")
+    rest = marked.filter("__hot is null").select(*rows.columns).join(table.filter(~hot), key, how)
+    return found.unionByName(rest)
