@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratadoc.functions.tables import discard, running, shared_dir, stage
+from stratadoc.functions.tables import discard, running, shared_dir, stage, with_hot
 
 __all__ = ["discard", "running", "shared_dir", "stage", "bound_batches", "table", "text_or_empty", "chunks", "kept", "task", "with_hot", "SPACE", "WORD"]
 
@@ -39,28 +39,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-#: Rows of hot keys that are broadcast at most.
-HOT_KEYS = 100_000
-
-
-def with_hot(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
-    """Joins ``rows`` to ``table``, which has one row a key and the key's rows in ``count``.
-
-    Keys that hold more than 1/HOT_KEYS of all rows are at most HOT_KEYS: they
-    are broadcast, so that their rows stay where they are. The others are joined
-    by a shuffle in which no key is large.
-    """
-    total = table.agg(F.sum(count)).first()[0] or 0
-    hot = F.col(count) > max(1000, total / HOT_KEYS)
-    few = F.broadcast(table.filter(hot).withColumn("__hot", F.lit(True)))
-    if not table.filter(hot).head(1):
-        return rows.join(table, key, how)
-    marked = rows.join(few, key, "left")
-    found = marked.filter("__hot").drop("__hot")
-    rest = marked.filter("__hot is null").select(*rows.columns).join(table.filter(~hot), key, how)
-    return found.unionByName(rest)
-
-
 def chunks(texts: list[str], most: int):
     """Cut a list into (start, end) ranges of about ``most`` characters, one text at least."""
     start = size = 0

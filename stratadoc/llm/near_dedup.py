@@ -12,7 +12,8 @@ agree with the similarity of the sets. Texts without have one, as both are equal
 
 ``BANDS`` bands of ``ROWS`` registers of each signature give candidate buckets: a
 pair of sets at 0.8 is in no common bucket with probability at most
-(1 - 0.8^6)^28 = 2e-4. Candidates are verified exactly: documents are linked if the Jaccard similarity of their shingle sets is
+(1 - 0.8^6)^28 = 2e-4. Candidates are verified
+exactly: documents are linked if the Jaccard similarity of their shingle sets is
 0.8 or more. Classes are the connected components of the links.
 
 Equal texts (the same words) are one node, so large groups of copies cost one
@@ -26,9 +27,9 @@ within a bucket is lost, pairs are never rows, and no task holds a group.
 
 Defined results: a text of one to four words is one shingle of all its words;
 null and empty texts have no shingles and are equal to each other; rows that
-repeat an id are one document, so that its texts are in one class; rows without
-an id are found only as copies of equal texts, and a class of these alone has no
-id; an empty table gives an empty result; other columns are ignored, and carried
+repeat an id are one document: each of its texts is compared, and all are in one
+class; rows without an id are found only as copies of equal texts, and a class
+of these alone has no id; an empty table gives an empty result; other columns are ignored, and carried
 through by ``representatives``.
 """
 
@@ -43,7 +44,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratadoc.llm._shared import bound_batches, chunks, stage, table, task
+from stratadoc.llm._shared import SPACE, bound_batches, chunks, discard, stage, table, task, with_hot
+from stratadoc.operators.graph import components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
@@ -51,6 +53,8 @@ BANDS, ROWS = 28, 6
 CHUNK = 1 << 20
 #: Texts in a block and their characters, about, and columns of a block's matrix.
 BLOCK, BLOCK_CHARS, COLUMNS = 128, 1 << 24, 8192
+#: Pairs with one pivot that are joined to one copy of its text.
+PAIRS = 2000
 #: Ids of candidates are broadcast up to this many (of 8 bytes); beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -174,29 +178,15 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], schema=schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b), by their whole texts."""
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, similarity double"), "near-verified")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) for each node of a link (a, b): the smallest node that it is connected to.
-
-    Each round takes the smallest label among a node's neighbours, then the
-    label of that label, and ends when nothing changes.
-    """
-    links = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-links")
-    labels = stage(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "near-labels")
-    while True:
-        offers = links.join(labels, links["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("offer"))
-        taken = stage(labels.join(offers, labels["node"] == offers["a"]).select("node", "label", F.least("label", "offer").alias("next")), "near-offers")
-        jump = taken.select(F.col("node").alias("at"), F.col("next").alias("further"))
-        new = stage(taken.join(jump, taken["next"] == jump["at"], "left").select("node", F.least("next", "further").alias("new"), (F.least("next", "further") < F.col("label")).alias("changed")), "near-labels")
-        labels = new.select("node", F.col("new").alias("label"))
-        if not new.filter("changed").head(1):
-            return labels
+def verified(pairs: DataFrame, texts: DataFrame, used: list[str]) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b), by their whole texts; a pivot ``b`` of many pairs gets a copy of its text for every PAIRS of them."""
+    counts = stage(pairs.groupBy("b").agg(F.count("*").alias("n")), "near-pivots", used)
+    copies = F.expr(f"(n - 1) div {PAIRS} + 1")
+    dealt = with_hot(pairs, counts, "b", "n").select("a", "b", F.pmod(F.xxhash64("a"), copies).alias("copy"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(counts, "b").select("b", "text_b", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
+    left = dealt.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(right, ["b", "copy"])
+    return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, similarity double"), "near-verified", used)
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,10 +194,11 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(own, members["node"] == own["of"], "left").drop("of").withColumn("label", F.coalesce("label", "node"))
 
 
-def _unresolved(labelled: DataFrame) -> DataFrame:
+def _unresolved(labelled: DataFrame, used: list[str]) -> DataFrame:
     """(pivot, node, label) of the buckets of three and more whose members are in several classes."""
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("n > 2 and x < y").select("bucket")
-    return stage(labelled.join(stage(mixed, "near-mixed"), "bucket", "left_semi").groupBy("pivot", "node").agg(F.min("label").alias("label")), "near-unresolved")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("n > 2 and x < y")
+    mixed = stage(mixed.select("bucket", "n"), "near-mixed", used)
+    return stage(with_hot(labelled, mixed, "bucket", "n").groupBy("pivot", "node").agg(F.min("label").alias("label")), "near-unresolved", used)
 
 
 def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -261,16 +252,16 @@ def _compare_blocks(frame):
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def compared_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+def compared_in_blocks(members: DataFrame, texts: DataFrame, used: list[str]) -> DataFrame:
     """Links (a, b) between different classes among (pivot, node, label), of nodes with the same pivot."""
     lengths = texts.select("node", F.length("text").alias("chars")).groupBy("node").agg(F.max("chars").alias("chars"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int")
-    sizes = stage(members.join(lengths, "node").groupBy("pivot").agg(blocks.alias("blocks")), "near-group-sizes")
+    sizes = stage(members.join(lengths, "node").groupBy("pivot").agg(blocks.alias("blocks")), "near-group-sizes", used)
     dealt = members.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     pair = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) as one, greatest(k, block) as two))")
     rows = dealt.select("pivot", "node", "label", "block", F.explode(pair).alias("p")).select("pivot", "node", "label", "block", "p.one", "p.two")
     with_text = rows.join(texts.dropDuplicates(["node"]), "node")
-    return stage(with_text.groupBy("pivot", "one", "two").applyInPandas(_compare_blocks, "a long, b long"), "near-block-links")
+    return stage(with_text.groupBy("pivot", "one", "two").applyInPandas(_compare_blocks, "a long, b long"), "near-block-links", used)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -279,32 +270,52 @@ def classes(docs: DataFrame) -> DataFrame:
     ``class_size`` counts the class's rows; ``kept`` marks the row with the class's id.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    bound_batches(docs.sparkSession)
+    spark, used = docs.sparkSession, []
+    bound_batches(spark)
     signed = stage(docs.mapInArrow(_sign, "doc_id long, key binary, bands array<long>"), "near-signed")
-    nodes = stage(
-        signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.first("bands").alias("bands"))
-        .select("key", F.coalesce("least", F.xxhash64("key")).alias("node"), "least", "rows", "bands"),
-        "near-nodes",
-    )
+    # Ids with several texts: their nodes are numbered by the text, and linked.
+    several = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y")
+    several = stage(several.select("doc_id"), "near-several", used)
+    any_several = bool(several.head(1))
+    base = signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.first("bands").alias("bands"))
+    number = F.coalesce("least", F.xxhash64("key"))
+    if any_several:
+        base = base.join(several.select(F.col("doc_id").alias("least"), F.lit(True).alias("shared")), "least", "left")
+        number = F.when(F.col("shared"), F.xxhash64("key")).otherwise(number)
+    nodes = stage(base.select("key", number.alias("node"), "least", "rows", "bands"), "near-nodes", used)
     each = nodes.filter("least is not null").select("node", F.explode("bands").alias("bucket"))
-    shared = stage(each.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("bucket", "pivot"), "near-buckets")
-    members = stage(each.join(shared, "bucket"), "near-members")
-    ids = stage(members.select("node").distinct(), "near-candidates")
+    shared = stage(each.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "near-buckets", used)
+    members = stage(with_hot(each, shared, "bucket", "n").select("bucket", "node", "pivot"), "near-members", used)
+    ids = members.select("node").distinct()
+    if any_several:
+        ids = ids.join(nodes.select("node", "key", F.col("least").alias("doc_id")), "node")
+    else:
+        ids = ids.select("node", F.col("node").alias("doc_id"))
+    ids = stage(ids, "near-candidates", used)
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = stage(texts.join(wanted, "node", "left_semi"), "near-texts")
-    pairs = stage(members.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "near-pairs")
-    links = verified(pairs, texts).filter(F.col("similarity") >= SIMILARITY).select("a", "b")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id")
+    if any_several:
+        words = F.filter(F.split("text", SPACE + "+"), lambda w: w != "")
+        texts = texts.filter(F.unhex(F.md5(F.array_join(words, " "))) == F.col("key"))
+    texts = stage(texts.select("node", "text"), "near-texts", used)
+    pairs = stage(members.filter("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "near-pairs", used)
+    links = verified(pairs, texts, used).filter(F.col("similarity") >= SIMILARITY).select("a", "b")
+    if any_several:
+        own = signed.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct().join(nodes.select("key", "node"), "key")
+        first = own.groupBy("doc_id").agg(F.min("node").alias("b"))
+        links = stage(links.unionByName(own.join(first, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b")), "near-all-links", used)
     labels = components(links)
-    rest = _unresolved(_labelled(members, labels))
+    rest = _unresolved(stage(_labelled(members, labels), "near-labelled", used), used)
     if rest.head(1):
-        links = links.unionByName(compared_in_blocks(rest, texts))
+        links = links.unionByName(compared_in_blocks(rest, texts, used))
         labels = components(links)
     placed = nodes.select("key", "node", "least", "rows").join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
-    placed = stage(placed.select("key", "least", "rows", F.coalesce("label", "node").alias("label")), "near-placed")
-    sizes = stage(placed.groupBy("label").agg(F.sum("rows").alias("class_size"), F.min("least").alias("class_id")), "near-sizes")
-    by_key = stage(placed.join(sizes, "label").select("key", "class_id", "class_size"), "near-classes")
-    return signed.select("doc_id", "key").join(by_key, "key").select("doc_id", "class_id", "class_size", F.expr("doc_id <=> class_id").alias("kept"))
+    placed = stage(placed.select("key", "least", "rows", F.coalesce("label", "node").alias("label")), "near-placed", used)
+    sizes = placed.groupBy("label").agg(F.sum("rows").alias("class_size"), F.min("least").alias("class_id"), F.count("*").alias("n"))
+    sizes = stage(sizes, "near-sizes", used)
+    by_key = stage(with_hot(placed, sizes, "label", "n").select("key", "rows", "class_id", "class_size"), "near-classes")
+    discard(spark, used)
+    return with_hot(signed.select("doc_id", "key"), by_key, "key", "rows").select("doc_id", "class_id", "class_size", F.expr("doc_id <=> class_id").alias("kept"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
