@@ -3,17 +3,21 @@ r"""Mixing sources to target weights by weighted fair queueing.
 The documents of a source are shuffled by a hash. Document after document gets
 a virtual finish time: the words of its source up to and including it, divided
 by the source's target. A source that is smaller than its target is run through
-again, up to three times. In order of virtual finish time the sources' shares
-fit the weights at every point of the mix. As the targets add up to the budget,
-the budget ends at virtual time 1: what finishes later is truncated there, so
-that the one document of each source in service at that time is taken in part.
+again, up to three times. All sources' documents are range-sorted by it, running
+totals over the ranges tell how many words the mix has before each, and it is
+truncated where these reach the total budget. In this order the shares of the
+sources fit the weights at every point of the mix. As the targets add up to the
+budget it is spent at virtual time 1, at which one document of each source is in
+service: it queues with the words that are served by then, so that each source
+takes its target and not up to a document more or less.
 
 Defined results: a null text has no words; sources go by code point with null
 as the last source of its own; equal hashes are ordered by id, then by text
 hash, and rows that are equal in all of these share one place in the queue in
 any order; documents without words are taken 0 times; an empty table gives an
 empty mix. Columns beside ``doc_id``, ``text`` and ``source`` are ignored, and
-carried through by ``mixed``.
+carried through by ``mixed``, in which rows that repeat an id, a text and a
+source all get the most words that one of them takes, so that reruns agree.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratadoc.llm._shared import WORD, stage, table, text_or_empty
+from stratadoc.llm._shared import WORD, running, stage, table, text_or_empty
 
 #: Weights of the sources in order, repeating; passes over a source at most.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -52,21 +56,16 @@ def targets(by_source: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> Data
     in order of size over weight the first sources are the stopped ones, so one
     running sum finds the level at which the rest share what is left.
     """
-    one = W.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = W.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    everything = by_ratio.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    pick = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(one) - 1) % len(weights) + 1).cast("int"))
-    return (
-        by_source.withColumn("weight", pick)
-        .withColumn("ratio", F.col("source_size") / F.col("weight"))
-        .withColumn("left_words", F.sum("source_size").over(everything) - F.coalesce(passes * F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("left_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", F.when(F.col("left_words") <= passes * F.col("ratio") * F.col("left_weight"), F.col("left_words") / F.col("left_weight")))
-        .withColumn("level", F.max("level").over(everything))
-        .withColumn("target", F.least(F.col("level") * F.col("weight"), (passes * F.col("source_size")).cast("double")))
-        .select("source", "source_size", "weight", F.coalesce("target", F.lit(0.0)).alias("target"))
-    )
+    at = running(by_source, [F.col("source").asc_nulls_last()], {"at": F.lit(1)}, "mix-order")
+    pick = F.element_at(F.array(*map(F.lit, weights)), (F.col("at") % len(weights) + 1).cast("int"))
+    rated = at.withColumn("weight", pick).drop("at").withColumn("ratio", F.col("source_size") / F.col("weight"))
+    rated = running(rated, [F.col("ratio"), F.col("source").asc_nulls_last()], {"less_size": F.col("source_size"), "less_weight": F.col("weight")}, "mix-ratios")
+    rated = stage(rated, "mix-rated")
+    total, weight = rated.agg(F.sum("source_size"), F.sum("weight")).first()
+    left_words, left_weight = F.lit(total or 0) - passes * F.col("less_size"), F.lit(weight or 0.0) - F.col("less_weight")
+    level = rated.filter(left_words <= passes * F.col("ratio") * left_weight).agg(F.max(left_words / left_weight)).first()[0]
+    target = F.least(F.lit(level or 0.0) * F.col("weight"), (passes * F.col("source_size")).cast("double"))
+    return rated.select("source", "source_size", "weight", target.alias("target"))
 
 
 def queue(docs: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> DataFrame:
@@ -97,38 +96,45 @@ def queue(docs: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> DataFrame:
     return rows.join(plan, same).select("doc_id", rows["source"], "size", "place", "tie", "source_size", "weight", "target", (F.col("offset") + F.col("inner")).alias("ahead"))
 
 
-def _taken(queued: DataFrame, passes: int):
-    """Words taken of each pass, as an array."""
-    budget = F.round("target").cast("long")
-    one = lambda e: F.greatest(F.lit(0), F.least(F.col("size"), budget - (F.lit(e) * F.col("source_size") + F.col("ahead"))))
-    return F.array(*[one(e) for e in range(passes)])
+def served(queued: DataFrame, passes: int) -> DataFrame:
+    """(round, words, finish) of each document and pass: the words served by virtual time 1, and its virtual finish time."""
+    start = lambda e: F.lit(e) * F.col("source_size") + F.col("ahead")
+    one = lambda e: F.struct(
+        F.lit(e).alias("round"),
+        F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - start(e))).alias("words"),
+        F.try_divide(start(e) + F.col("size"), F.col("target")).alias("finish"),
+    )
+    return queued.withColumn("__e", F.explode(F.array(*[one(e) for e in range(passes)]))).select(*queued.columns, "__e.*").filter("words > 0")
+
+
+def fair_queue(queued: DataFrame, passes: int = PASSES) -> DataFrame:
+    """The mix: rows of ``queued`` by pass, with their finish time, the words before them in it, and the words it takes of them."""
+    budget = queued.agg(F.sum("size")).first()[0] or 0
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("place"), F.col("doc_id").asc_nulls_last(), F.col("tie")]
+    line = running(served(queued, passes), order, {"before": F.col("words")}, "mix-queue")
+    return line.withColumn("words", F.least(F.col("words"), F.lit(budget) - F.col("before"))).filter("words > 0")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    q = queue(docs, weights, passes)
-    total = F.aggregate(_taken(q, passes), F.lit(0).cast("long"), lambda a, x: a + x)
-    return q.select("doc_id", "size", "source_size", "target", total.alias("taken"))
+    q = stage(queue(docs, weights, passes).withColumn("row", F.monotonically_increasing_id()), "mix-placed")
+    taken = fair_queue(q.drop("weight"), passes).groupBy("row").agg(F.sum("words").alias("taken"))
+    return q.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> DataFrame:
     """The mix itself in order of virtual finish time: ``docs`` rows, one for each pass that takes them.
 
-    The document a source has in service when the budget ends appears with its
-    first words only. Rows without words take no part. Rows that repeat an id
-    and a text are taken alike.
+    A document that is taken in part appears with its first words only. Rows
+    without words take no part.
     """
-    q = queue(docs, weights, passes)
-    taken = q.select("doc_id", "source", "tie", "size", F.posexplode(_taken(q, passes)).alias("round", "words"), "source_size", "target", "ahead").filter("words > 0")
-    taken = taken.select(
-        F.col("doc_id").alias("q_id"), F.col("source").alias("q_source"), F.col("tie").alias("q_tie"), "size", "round", "words",
-        ((F.col("round") * F.col("source_size") + F.col("ahead") + F.col("size")) / F.col("target")).alias("finish"),
-    ).dropDuplicates(["q_id", "q_source", "q_tie", "round"])
+    line = fair_queue(stage(queue(docs, weights, passes), "mix-placed"), passes)
+    taken = line.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("q_id"), F.col("source").alias("q_source"), F.col("tie").alias("q_tie"), "round")
+    taken = taken.agg(F.max("words").alias("words"), F.max("size").alias("size"), F.min("finish").alias("finish"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = F.coalesce(F.col("row.text"), F.lit(""))
     row = row.withColumn("tie", F.xxhash64(text)).withColumn("id", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))
-    taken = taken.withColumn("id", F.coalesce(F.col("q_id").cast("string"), F.lit("")))
-    joined = row.join(taken, (row["id"] == taken["id"]) & (row["tie"] == taken["q_tie"]) & row["row.source"].eqNullSafe(F.col("q_source")))
+    joined = row.join(taken, (row["id"] == taken["q_id"]) & (row["tie"] == taken["q_tie"]) & row["row.source"].eqNullSafe(F.col("q_source")))
     words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(words, 1, F.col("words").cast("int")), "")
     cols = [F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("row.text")).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
@@ -155,11 +161,15 @@ c AS (
 l AS (SELECT max(left_words / left_weight) AS level FROM c WHERE left_words <= 3 * ratio * left_weight),
 t AS (SELECT source, source_size, coalesce(least(level * weight, (3 * source_size)::DOUBLE), 0.0) AS target FROM c, l),
 q AS (
-  SELECT d.doc_id, size, source_size, target, round(target)::BIGINT AS budget,
+  SELECT d.doc_id, d.source, place, size, source_size, target, round(target)::BIGINT AS budget,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, budget - ahead)) + greatest(0, least(size, budget - source_size - ahead))
-        + greatest(0, least(size, budget - 2 * source_size - ahead)))::BIGINT AS taken
-FROM q
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (
+  SELECT doc_id, source, place, greatest(0, least(size, budget - (p * source_size + ahead))) AS words, (p * source_size + ahead + size) / target AS finish
+  FROM q, (SELECT unnest([0, 1, 2]) AS p) WHERE budget > p * source_size + ahead AND size > 0),
+f AS (
+  SELECT doc_id, least(words, (SELECT sum(size) FROM d) - coalesce(sum(words) OVER w, 0)) AS words FROM e
+  WINDOW w AS (ORDER BY finish, source NULLS LAST, place, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT doc_id, sum(greatest(0, words))::BIGINT AS taken FROM f GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN k USING (doc_id)
 """
