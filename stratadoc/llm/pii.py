@@ -3,8 +3,8 @@ r"""Personal data: patterns propose spans, checksums confirm them, nearby words
 Base kinds are email, ip, card and phone. ``iban`` (confirmed by mod 97) and
 ``ssn`` (which needs a context word, as it has no checksum) are added. Each
 span has a score between 0 and 1: that of its kind's validator, raised when a
-context word of its kind stands near it and lowered when a word such as
-"version" or "order" does. Base spans stay whatever their score is.
+context word of its kind stands near it, as a whole word, and lowered when a
+word such as "version" or "order" does. Base spans stay whatever their score is.
 
 All searches are linear in the text's length: an address is looked for from
 its "@", numbers from the start of a run of digits. Defined results: null texts
@@ -40,19 +40,21 @@ SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = 4
 CONTEXT = {
-    "email": ("mail", "contact", "@", "correo", "courriel", "kontakt"),
+    "email": ("mail", "email", "emails", "contact", "@", "correo", "courriel", "kontakt"),
     "ip": ("ip", "host", "server", "address", "login"),
-    "card": ("card", "visa", "credit", "payment", "tarjeta", "carte", "karte"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "telefon"),
+    "card": ("card", "cards", "visa", "credit", "payment", "tarjeta", "carte", "karte", "kreditkarte"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile", "fax", "telefon", "teléfono"),
     "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
     "ssn": ("ssn", "social", "security"),
 }
-AGAINST = ("version", "order", "isbn", "build", "serial")
+AGAINST = frozenset(("version", "order", "isbn", "build", "serial"))
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 #: Characters on either side in which context counts, its weight, and the least score of spans that are added.
 NEAR, STEP, LEAST = 40, 0.2, 0.5
 
 DIGITS = re.compile(r"[0-9]")
+_near = re.compile(r"[^\W\d_]+|@").findall
+_context = {k: frozenset(v) for k, v in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -117,9 +119,19 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [mail, ip, card, phone]
 
 
+def nearby(text: str, start: int, end: int) -> set[str]:
+    """The whole words within NEAR characters of a span; a word that the edge cuts does not count."""
+    a, b = max(0, start - NEAR), end + NEAR
+    while a < start and a > 0 and text[a - 1].isalpha():
+        a += 1
+    while b > end and b < len(text) and text[b].isalpha():
+        b -= 1
+    return {*_near(text[a:start].lower()), *_near(text[end:b].lower())}
+
+
 def score(kind: str, text: str, start: int, end: int) -> float:
-    near = (text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]).lower()
-    s = PRIOR[kind] + STEP * any(w in near for w in CONTEXT[kind]) - STEP * any(w in near for w in AGAINST)
+    near = nearby(text, start, end)
+    s = PRIOR[kind] + STEP * (not near.isdisjoint(_context[kind])) - STEP * (not near.isdisjoint(AGAINST))
     return round(min(1.0, max(0.0, s)), 6)
 
 

@@ -269,6 +269,32 @@ def test_mixing(docs, rows, none):
     assert abs(total - sum(sizes.values())) <= 5
 
 
+def test_mixing_is_a_queue_by_finish_time(spark):
+    """Document by document in one sorted list, cut at the total budget; rows that are repeated do not disturb it."""
+    r = random.Random(14)
+    rows = [(i, " ".join(words(r, r.choice([0, 1, 5, 40, 400]))), f"s{r.randrange(7)}" if i % 20 else None) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = {x.doc_id: x for x in mixing.mix(frame).collect()}
+    order = sorted(rows, key=lambda x: (int(hashlib.md5(b"%d/mix" % x[0]).hexdigest()[:15], 16), x[0]))
+    line = []
+    for source in {x[2] for x in rows}:
+        at, target = 0, next(got[i].target for i, _, s in rows if s == source)
+        for e in range(3):
+            for k, (i, t, s) in enumerate(order):
+                if s == source:
+                    n = len(t.split())
+                    line.append(((at + n) / target, source is None, source or "", k, i, max(0, min(n, math.floor(target + 0.5) - at))))
+                    at += n
+    left, taken = sum(len(t.split()) for _, t, _ in rows), Counter()
+    for *_, i, n in sorted(line):
+        taken[i] += min(n, left)
+        left -= min(n, left)
+    assert {i: x.taken for i, x in got.items()} == {i: taken[i] for i in got} and left <= 7
+    again = frame.unionByName(frame.filter("doc_id < 40")).unionByName(frame.filter("doc_id < 9"))
+    seen = [sorted((x.doc_id, x.text, x.source or "") for x in mixing.mixed(again.repartition(n)).collect()) for n in (2, 5)]
+    assert seen[0] == seen[1]
+
+
 def test_exact_dedup(docs, rows, none):
     groups = defaultdict(list)
     for i, t, *_ in rows:
@@ -301,17 +327,67 @@ def test_warc_audit_finds_every_fault(spark):
     assert warc.audit(warc.catalog(empty), warc.catalog(empty).select("place", "hash")).count() == 0
 
 
+def warc_record(i, b):
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://x/%d\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (i, i, len(b), b)
+
+
 def test_warc_files(spark, tmp_path):
     import gzip
 
-    record = lambda i, b: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://x/%d\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (i, i, len(b), b)
     bodies = [b"abc", b"", b"line\r\n\r\nWARC/1.0 inside"]
-    plain = b"".join(record(i, b) for i, b in enumerate(bodies))
-    (tmp_path / "a.warc").write_bytes(plain)
-    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(record(i, b)) for i, b in enumerate(bodies)))
+    each = [warc_record(i, b) for i, b in enumerate(bodies)]
+    (tmp_path / "a.warc").write_bytes(b"".join(each))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, each)))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(each)) + gzip.compress(each[0]))
     got = warc.read_archives(spark, str(tmp_path)).collect()
-    assert sorted((r.record_id, bytes(r.block)) for r in got) == sorted(2 * [(f"<urn:{i}>", b) for i, b in enumerate(bodies)])
-    assert all(hashlib.sha256(plain[r.start : r.start + r.length]).hexdigest() == r.hash for r in got if r.path.endswith("a.warc"))
+    assert sorted((r.record_id, bytes(r.block)) for r in got) == sorted([(f"<urn:{i}>", b) for i, b in enumerate(bodies)] * 3 + [("<urn:0>", b"abc")])
+    assert {r.hash for r in got} == {hashlib.sha256(x).hexdigest() for x in each} and {r.error for r in got} == {None}
+    assert [r.start for r in got if r.path.endswith("a.warc")] == [0, len(each[0]), len(each[0] + each[1])]
+    assert warc.read_archives(spark, str(tmp_path), blocks=False).filter("block is null").count() == 10
+
+
+@pytest.mark.parametrize("piece", [warc.PIECE, 3])
+def test_malformed_warc_files(monkeypatch, piece):
+    import gzip
+
+    monkeypatch.setattr(warc, "PIECE", piece)
+    each = [warc_record(i, b"body %d" % i) for i in range(4)]
+    found = lambda data: [(bytes(raw), error) for _, _, raw, _, _, error in warc.parse(data)]
+    good = [(x, None) for x in each]
+    lost = each[1].replace(b"Content-Length", b"Content-Lungth")
+    assert found(b"".join([each[0], lost, *each[2:]])) == [good[0], (lost, "no length"), *good[2:]]
+    assert found(each[0] + b"junk\r\n\r\n" + each[1]) == [good[0], (b"junk\r\n\r\n", "no record"), good[1]]
+    assert found(each[0] + each[1][:-10]) == [good[0], (each[1][:-10], "truncated record")]
+    assert found(b"\r\n\r\n" + each[0] + each[1][:-4]) == [good[0], (each[1][:-4], None)] and found(b"") == []
+    z = [gzip.compress(x) for x in each]
+    torn = found(z[0] + z[1][:-12])
+    assert torn[0] == good[0] and torn[-1] == (z[1][:-12], "truncated member")
+    wrong = bytearray(z[1])
+    wrong[-5] ^= 1
+    damaged = found(z[0] + bytes(wrong) + z[2])
+    assert damaged[0] == good[0] and damaged[-1] == good[2] and any(e and e.startswith("damaged member") for _, e in damaged)
+    assert found(z[0] + b"junk" + z[2]) == [good[0], (b"junk", "no member"), good[2]]
+
+
+def test_a_large_warc_file_is_read_in_seconds():
+    import gzip
+    import time
+
+    body = random.Random(3).randbytes(5000)
+    data = b"".join(gzip.compress(warc_record(i, body), 1) for i in range(20000))
+    start = time.perf_counter()
+    assert len(data) > 100_000_000 and sum(1 for *_, error in warc.parse(data) if error is None) == 20000
+    assert time.perf_counter() - start < 30
+
+
+def test_warc_extra_records_and_written_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * 100000 if i == 3 else f"é body {i}\r\n\r\nWARC/1.0", i) for i in range(40)] + [(None, None, None, 1)] * 2, "page_id long, url string, html string, hash int")
+    placed = warc.catalog(pages, 16)
+    warc.write_archives(pages.filter("page_id is null or page_id <> 5").unionByName(spark.createDataFrame([(99, "http://new", "n", 1)], pages.schema)), str(tmp_path / "w"))
+    read = warc.read_archives(spark, str(tmp_path / "w"))
+    assert read.filter("error is not null").count() == 0
+    got = Counter((r.status, r.page_id, r.url) for r in warc.audit(placed, warc.placed_by_id(read, placed)).collect())
+    assert got == Counter([("ok", i, f"http://h/{i}") for i in range(40) if i != 5] + [("ok", None, None)] * 2 + [("lost", 5, "http://h/5"), ("extra", None, "http://new")])
 
 
 BASE_PII = [
@@ -348,6 +424,18 @@ def test_pii_base_spans_are_those_of_the_patterns(spark, none):
     assert pii.scan(none).count() == 0
 
 
+def test_pii_context_is_of_whole_words_and_texts_may_be_long_or_repeated(spark):
+    at = "the recipient of hotel ship 1.2.3.4 cardigan"
+    assert pii.score("ip", at, 28, 35) == pii.PRIOR["ip"]
+    assert pii.score("ip", "an IP: 1.2.3.4", 7, 14) > pii.PRIOR["ip"] > pii.score("ip", "version 1.2.3.4", 8, 15)
+    assert pii.nearby("x" * 30 + "ip " + "y" * 38 + " 1.2.3.4", 72, 79) == {"y" * 38}
+    long = "pad " * 300000 + "a@b.cd 4111 1111 1111 1111"
+    frame = spark.createDataFrame([(1, long, "s", "k"), (1, long, "s", "k"), (2, "a@b.cd", "s", "k")], "doc_id long, text string, spans string, n_email string")
+    got = pii.scan(frame).collect()
+    assert sorted((r.doc_id, r.n_email, r.n_card) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 0)]
+    assert {r.spans for r in got if r.doc_id == 1} == {f"email:{len(long) - 26}:{len(long) - 20},card:{len(long) - 19}:{len(long)}"}
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
@@ -394,14 +482,14 @@ def test_secret_scan(spark, none):
 
 def test_secrets_of_a_long_text_and_of_a_hot_value(spark, monkeypatch):
     """Two megabytes of spans, clashing columns, and a value that most rows hold."""
-    from stratadoc.llm import _shared
+    from stratadoc.functions import tables
 
     value = lambda i: hashlib.md5(b"%d" % i).hexdigest()
     long = " é ".join(value(i) for i in range(60000))
     rows = [(0, long, "a", "x", "x")] + [(i, "token=" + "Q" * 20 if i % 3 else "key " + value(i), "ab"[i % 2], "x", "x") for i in range(1, 4000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, spans string, t string")
-    for most in (_shared.HOT_KEYS, 2):
-        monkeypatch.setattr(_shared, "HOT_KEYS", most)
+    for most in (tables.HOT_KEYS, 2):
+        monkeypatch.setattr(tables, "HOT_KEYS", most)
         got = {x.doc_id: x for x in secret_scan.scan(frame).collect()}
         assert len(got) == 4000 and got[0].n_hex == 60000 and got[0].spans.endswith("hex:%d:%d" % (len(long) - 32, len(long)))
         assert got[0].base_sha256 == hashlib.sha256(",".join(f"hex:{35 * i}:{35 * i + 32}" for i in range(60000)).encode()).hexdigest()
