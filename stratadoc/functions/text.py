@@ -24,6 +24,12 @@ def md5_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def dimension(term: Column) -> Column:
+    """A number below 64 from the first 32 bits of an md5: ``md5_number(term) % 64``, from the two digits that decide it."""
+    digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(term), at, 1)) - 1
+    return ((digit(7) * 16 + digit(8)) % 64).cast("int")
+
+
 def frontmatter(text: Column) -> Column:
     """Map of the ``key: value`` lines between the two leading ``---`` lines; null without such a block."""
     block = F.regexp_extract(text, r"\A---\r?\n([\s\S]*?)\r?\n---", 1)

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratadoc.functions import text as T
+from stratadoc.functions.tables import small
+from stratadoc.operators import retrieval
 
 #: Routing rules in order of priority: the first whose pattern a text matches gives its folder.
 ROUTES = (("[0-9a-f]{40}", "Assets"), (r"\|", "Resources"), ("@", "Meetings"), ("!!", "Personal"), (r"\n", "Knowledge"))
@@ -17,7 +19,9 @@ REDACTIONS = {
     "phone": r"\+[0-9][0-9() .-]{7,}[0-9]",
     "key": r"[0-9a-f]{32,}",
 }
-CANDIDATES, RARE, MARGIN = 5, 20, 0.05
+CANDIDATES, MARGIN = 5, 0.05
+#: Tags of a vocabulary that are broadcast at most; beyond it they are joined.
+BROADCAST_TAGS = 500_000
 
 
 def routed(docs: DataFrame, text: str = "text", routes=ROUTES) -> DataFrame:
@@ -32,26 +36,22 @@ def blocked(routed_docs: DataFrame) -> DataFrame:
     return routed_docs.filter("target is null")
 
 
-def candidates(sources: DataFrame, pages: DataFrame, k: int = CANDIDATES, source: str = "doc_id", page: str = "item_id", rare: int = RARE) -> DataFrame:
-    """(source, page, score, rank): pages that share rare terms with a source, by the sum of their idf.
+def candidates(sources: DataFrame, pages: DataFrame, k: int = CANDIDATES, source: str = "doc_id", page: str = "item_id") -> DataFrame:
+    """(source, page, score, fused, rank): the k best pages of each source by terms and vectors together; ``score`` is that by terms."""
+    return retrieval.matched(sources, pages, k, source=source, page=page).select(source, page, "score", "fused", "rank")
 
-    Terms of more than ``rare`` pages select nothing, so a source meets few pages.
-    """
-    page_terms = pages.select(page, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    df = page_terms.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") <= rare)
-    n = pages.agg(F.count("*").alias("n"))
-    postings = page_terms.join(df, "term").crossJoin(F.broadcast(n)).select(page, "term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    source_terms = sources.select(source, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    scored = source_terms.join(postings, "term").groupBy(source, page).agg(F.round(F.sum("idf"), 4).alias("score"))
-    order = W.partitionBy(source).orderBy(F.col("score").desc(), page)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+def with_graph(found: DataFrame, edges: DataFrame, source: str = "doc_id", page: str = "item_id") -> DataFrame:
+    """(source, page, score, rank, origin): the packet's pages, those found by search and those that the graph puts beside them."""
+    beside = neighbours(found, edges, source, page).select(source, page, F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank"), F.lit("graph").alias("origin"))
+    return found.select(source, page, "score", "rank", F.lit("search").alias("origin")).unionByName(beside)
 
 
 def ambiguities(found: DataFrame, source: str = "doc_id", margin: float = MARGIN) -> DataFrame:
-    """Sources whose best two candidates are closer than the relative margin."""
+    """Sources whose best two candidates are closer by their terms than the relative margin, or of which the second has more, or neither any."""
     order = W.partitionBy(source).orderBy("rank")
     led = found.withColumn("next_score", F.lead("score").over(order)).filter("rank = 1 and next_score is not null")
-    gap = F.round((F.col("score") - F.col("next_score")) / F.col("score"), 6)
+    gap = F.when(F.col("score") > 0, F.round(F.try_divide(F.col("score") - F.col("next_score"), F.col("score")), 6)).otherwise(0.0)
     return led.withColumn("margin", gap).filter(F.col("margin") < margin)
 
 
@@ -72,9 +72,10 @@ def neighbours(found: DataFrame, edges: DataFrame, source: str = "doc_id", page:
 
 
 def cues(sources: DataFrame, vocabulary: DataFrame, source: str = "doc_id") -> DataFrame:
-    """(source, tag, n): controlled tags that occur among a source's terms."""
-    counts = T.token_counts(sources, source)
-    return counts.join(vocabulary.select(F.lower("tag").alias("term"), "tag").distinct(), "term").select(source, "tag", F.col("tf").alias("n"))
+    """(source, tag, n): controlled tags that occur among a source's terms; other terms are dropped where they are read."""
+    tags = small(vocabulary.select(F.lower("tag").alias("term"), "tag").distinct(), BROADCAST_TAGS, "tags")
+    words = sources.select(source, F.explode(T.tokens(F.col("text"))).alias("term"))
+    return words.join(tags, "term").groupBy(source, "tag").agg(F.count("*").alias("n"))
 
 
 def preflight(checks: dict[str, DataFrame]) -> DataFrame:

@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from stratadoc.functions import text as T
-from stratadoc.functions.tables import small, stage
+from stratadoc.functions.tables import stage
 
 K1, B = 1.2, 0.75
 RRF = 60
 #: Query vectors and vectors that one row holds, so that a pair of rows is one matrix product.
 QUERY_BLOCK, VECTOR_BLOCK = 256, 2048
 DIMENSIONS = 64
-#: Rows of query terms, or of ids found, that are broadcast at most; beyond it they are joined.
-BROADCAST_ROWS = 500_000
+#: Rows of query terms that are broadcast at most (beyond it they are joined), query vectors sent to every task at a time, and postings of pages.
+BROADCAST_ROWS, QUERY_VECTORS, POSTINGS = 500_000, 50_000, 2_000_000
+#: Length of each of the two lists that a hybrid search fuses.
+FIRST = 50
+#: Scores of sources and pages held at a time.
+CELLS = 4_000_000
 
 
 def top(scored: DataFrame, query: str, doc: str, k: int, score: str = "score") -> DataFrame:
@@ -97,8 +104,166 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 def hashed(docs: DataFrame, key: str) -> DataFrame:
     """(key, dim, w): term counts hashed to DIMENSIONS; the default embedding where no model is plugged in."""
-    counts = T.token_counts(docs, key)
-    return counts.groupBy(key, (T.md5_number(F.col("term")) % DIMENSIONS).alias("dim")).agg(F.sum("tf").cast("double").alias("w"))
+    dims = docs.select(key, F.explode(T.tokens(F.col("text"))).alias("term")).select(key, T.dimension(F.col("term")).cast("long").alias("dim"))
+    return dims.groupBy(key, "dim").agg(F.count("*").cast("double").alias("w"))
+
+
+def dims() -> Column:
+    """The hashed dimension of every token of ``text``: what a task makes a vector of."""
+    return F.transform(T.tokens(F.col("text")), T.dimension).alias("dims")
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of all elements of a column of lists."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), lengths), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed vectors of a batch, and their norms (1 of empty ones)."""
+    row, dim = _lists(column)
+    out = np.bincount(row * DIMENSIONS + dim, minlength=len(column) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float64)
+    norm = np.sqrt((out * out).sum(1))
+    return out, np.where(norm > 0, norm, 1.0)
+
+
+def _closest(shipped, first: int, schema: pa.Schema):
+    def run(batches):
+        """Of a task's documents the ``first`` closest to each query, which alone leave it."""
+        ids, vectors, norms = shipped.value
+        held: list = [None] * len(ids)
+        for batch in batches:
+            if not len(batch):
+                continue
+            own, norm = _vectors(batch.column("dims"))
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            cosines = np.round((own @ vectors.T) / norm[:, None] / norms[None], 6)
+            for q in range(len(ids)):
+                c, d = cosines[:, q], doc
+                on = c > 0
+                c, d = c[on], d[on]
+                if held[q] is not None:
+                    c, d = np.concatenate([held[q][0], c]), np.concatenate([held[q][1], d])
+                best = np.lexsort((d, -c))[:first]
+                held[q] = c[best], d[best]
+        for q, found in enumerate(held):
+            if found is not None and len(found[0]):
+                c, d = found
+                yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(c), schema.types[0]), pa.array(d, schema.types[1]), pa.array(c)], schema=schema)
+
+    return run
+
+
+def closest(docs: DataFrame, queries: DataFrame, first: int, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
+    """(query, doc, cosine): the ``first`` texts of all that are closest to each query by hashed vectors; one scan, and only these leave their task."""
+    spark = docs.sparkSession
+    wanted = stage(queries.select(query, dims()), "query-dims")
+    n = -(-wanted.count() // QUERY_VECTORS) or 1
+    types = [f"{query} {wanted.schema[query].dataType.simpleString()}", f"{doc} {docs.schema[doc].dataType.simpleString()}", "cosine double"]
+    schema = to_arrow_schema(docs.sparkSession.createDataFrame([], ", ".join(types)).schema)
+    out = None
+    for k in range(n):
+        rows = wanted.filter(F.pmod(F.xxhash64(query), F.lit(n)) == k).toArrow().combine_chunks()  # about QUERY_VECTORS of them
+        column = rows["dims"].combine_chunks()
+        shipped = spark.sparkContext.broadcast((rows[query].to_pylist(), *_vectors(column)))
+        part = docs.select(doc, dims()).mapInArrow(_closest(shipped, first, schema), ", ".join(types))
+        out = part if out is None else out.unionByName(part)
+    return top(out, query, doc, first, "cosine")
+
+
+class Index:
+    """Terms, weights and vectors of a block of pages, by which a task scores its sources."""
+
+    def __init__(self, pages: pa.Table, postings: pa.Table, page: str):
+        self.ids = pages[page].combine_chunks()
+        order = np.asarray(pa.compute.array_sort_indices(self.ids))
+        self.ids = self.ids.take(pa.array(order))
+        place = {x: i for i, x in enumerate(self.ids.to_pylist())}
+        term, at = postings["term"].to_numpy(), np.array([place[x] for x in postings[page].to_pylist()], np.int64)
+        by = np.argsort(term, kind="stable")
+        self.keys, start, count = np.unique(term[by], return_index=True, return_counts=True)
+        self.start, self.count, self.pages = start, count, at[by]
+        self.idf = postings["idf"].to_numpy()[by][start] if len(by) else np.zeros(0)
+        self.vectors, self.norms = _vectors(pages["dims"].combine_chunks().take(pa.array(order)))
+
+    def scores(self, batch) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the idf of shared terms, and cosines, of each source and page."""
+        n, width = len(batch), len(self.ids)
+        row, term = _lists(batch.column("terms"))
+        score = np.zeros((n, width))
+        if len(self.keys) and len(term):
+            at = np.minimum(np.searchsorted(self.keys, term), len(self.keys) - 1)
+            hit = self.keys[at] == term
+            row, at = row[hit], at[hit]
+            count = self.count[at]
+            place = np.repeat(self.start[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            cell = np.repeat(row, count) * width + self.pages[place]
+            score = np.round(np.bincount(cell, np.repeat(self.idf[at], count), n * width).reshape(n, width), 4)
+        own, norm = _vectors(batch.column("dims"))
+        return score, np.round((own @ self.vectors.T) / norm[:, None] / self.norms[None], 6)
+
+
+def _ranked(values: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rank) of the ``first`` largest positive values of each row, ties by column."""
+    best = np.argsort(-values, axis=1, kind="stable")[:, :first]
+    row, rank = np.indices(best.shape)
+    on = np.take_along_axis(values, best, 1) > 0
+    return row[on], best[on], rank[on] + 1
+
+
+def _matched(shipped, first: int, k: int | None, schema: pa.Schema):
+    def run(batches):
+        index = shipped.value
+        step = max(1, CELLS // max(1, len(index.ids)))
+        for whole in batches:
+            for a in range(0, len(whole), step):
+                batch = whole.slice(a, step)
+                score, cosine = index.scores(batch)
+                fused = np.zeros(score.shape)
+                for values in (score, cosine):
+                    row, col, rank = _ranked(values, first)
+                    fused[row, col] += 1 / (RRF + rank)
+                fused = np.round(fused, 8)
+                row, col, rank = _ranked(fused, k or 2 * first)
+                columns = [batch.column(0).take(pa.array(row)), index.ids.take(pa.array(col)), score[row, col], cosine[row, col], fused[row, col], rank]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    return run
+
+
+def matched(sources: DataFrame, pages: DataFrame, k: int, first: int = FIRST, source: str = "doc_id", page: str = "item_id") -> DataFrame:
+    """(source, page, score, cosine, fused, rank): the k pages that fit each of many sources best.
+
+    ``score`` sums the idf of all terms that both have, ``cosine`` compares their
+    hashed vectors; the ``first`` pages of either list are fused by their ranks.
+    The pages' index is sent to the tasks in blocks of about POSTINGS postings,
+    so the sources are scanned once a block and, with one block, never shuffled.
+    """
+    spark = sources.sparkSession
+    read = stage(pages.select(page, F.array_distinct(F.transform(T.tokens(F.col("text")), lambda t: F.xxhash64(t))).alias("terms"), dims()), "page-terms")
+    each = read.select(page, F.explode("terms").alias("term"))
+    n, total = read.count(), read.agg(F.sum(F.size("terms"))).first()[0] or 0
+    idf = each.groupBy("term").agg(F.log(1 + F.lit(n) / F.count("*")).alias("idf"))
+    postings = each.join(idf, "term")
+    blocks = max(1, -(-total // POSTINGS))
+    types = {c: d.schema[c].dataType.simpleString() for d, c in ((sources, source), (pages, page))}
+    sql = f"{source} {types[source]}, {page} {types[page]}, score double, cosine double, fused double, rank int"
+    schema = to_arrow_schema(spark.createDataFrame([], sql).schema)
+    rows = sources.select(source, F.array_distinct(F.transform(T.tokens(F.col("text")), lambda t: F.xxhash64(t))).alias("terms"), dims())
+    out = None
+    for b in range(blocks):
+        mine = F.pmod(F.xxhash64(page), F.lit(blocks)) == b
+        index = Index(read.filter(mine).select(page, "dims").toArrow(), postings.filter(mine).toArrow(), page)
+        part = rows.mapInArrow(_matched(spark.sparkContext.broadcast(index), first, k if blocks == 1 else None, schema), sql)
+        out = part if out is None else out.unionByName(part)
+    if blocks == 1:
+        return out
+    # Each block gave its best by either list; the lists of all pages are made of these.
+    place = lambda c: F.row_number().over(W.partitionBy(source).orderBy(F.col(c).desc(), page))
+    share = lambda c, r: F.when((F.col(c) > 0) & (F.col(r) <= first), 1 / (RRF + F.col(r))).otherwise(0.0)
+    lists = out.withColumn("r1", place("score")).withColumn("r2", place("cosine"))
+    fused = lists.withColumn("fused", F.round(share("score", "r1") + share("cosine", "r2"), 8)).filter("fused > 0")
+    return top(fused.select(source, page, "score", "cosine", "fused"), source, page, k, "fused")
 
 
 def embedded(docs: DataFrame, key: str, model=None) -> DataFrame:
@@ -112,17 +277,12 @@ def embedded(docs: DataFrame, key: str, model=None) -> DataFrame:
     return dims.filter("w <> 0")
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, k: int = 5, first: int = 20, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
-    """(query, doc, score, rank): the best by terms are ranked again by hashed vectors, and both ranks are fused."""
-    found = stage(bm25(docs, queries, first, doc, query).select(query, doc, F.col("rank").alias("term_rank")), "found")
-    wanted = docs.join(small(found.select(doc).distinct(), BROADCAST_ROWS, "found-ids"), doc, "left_semi")
-    d, q = stage(hashed(wanted, doc), "found-vectors"), stage(hashed(queries, query), "query-vectors")
-    norm = lambda v, key, name: v.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dots = found.join(q, query).withColumnRenamed("w", "qw").join(d, [doc, "dim"]).groupBy(query, doc).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    cosine = dots.join(norm(d, doc, "dn"), doc).join(norm(q, query, "qn"), query).withColumn("cosine", F.round(F.col("dot") / F.col("dn") / F.col("qn"), 6))
-    both = found.join(cosine.select(query, doc, "cosine"), [query, doc], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
-    again = both.withColumn("vector_rank", F.row_number().over(W.partitionBy(query).orderBy(F.col("cosine").desc(), F.col(doc))))
-    fused = again.select(query, doc, F.round(1 / (RRF + F.col("term_rank")) + 1 / (RRF + F.col("vector_rank")), 8).alias("score"))
+def hybrid(docs: DataFrame, queries: DataFrame, k: int = 5, first: int = FIRST, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
+    """(query, doc, score, rank): the ``first`` documents by terms and the ``first`` by hashed vectors, each of all, fused by their ranks."""
+    by_terms = bm25(docs, queries, first, doc, query).select(query, doc, F.col("rank").alias("r1"))
+    by_vectors = closest(docs, queries, first, doc, query).select(query, doc, F.col("rank").alias("r2"))
+    share = lambda r: F.coalesce(1 / (RRF + F.col(r)), F.lit(0.0))
+    fused = by_terms.join(by_vectors, [query, doc], "full").select(query, doc, F.round(share("r1") + share("r2"), 8).alias("score"))
     return top(fused, query, doc, k)
 
 
@@ -141,12 +301,19 @@ def stale(current: DataFrame, indexed: DataFrame) -> DataFrame:
     return current.join(i, (current["path"] == i["at"]) & (current["sha256"] == i["indexed"]), "left_anti")
 
 
-def answer(questions: DataFrame, catalog: DataFrame, raw: DataFrame, floor: float, k: int = 5) -> DataFrame:
-    """Evidence by tier: the catalog first; the raw sources only for questions whose best page is below ``floor``."""
-    tier1 = stage(bm25(catalog, questions, k).withColumn("tier", F.lit("catalog")), "tier")
-    sure = tier1.filter((F.col("rank") == 1) & (F.col("score") >= floor)).select("item_id")
-    tier2 = bm25(raw, questions.join(sure, "item_id", "left_anti"), k).withColumn("tier", F.lit("raw"))
-    return tier1.unionByName(tier2)
+def answer(questions: DataFrame, catalog: DataFrame, raw: DataFrame, claims: DataFrame, k: int = 5, query: str = "item_id") -> DataFrame:
+    """(query, doc_id, score, rank, tier): evidence from the catalog's pages, and from the raw sources where these do not do.
+
+    ``questions`` has needs_precision, ``catalog`` confidence, ``claims`` what pages
+    say of an attribute. The raw sources are read for questions without a page
+    and for those that ``fallback`` marks.
+    """
+    tier1 = stage(bm25(catalog, questions, k, query=query), "tier")
+    sure = catalog.select("doc_id", "confidence").distinct()
+    found = tier1.join(sure, "doc_id").join(questions.select(query, "needs_precision"), query)
+    enough = fallback(found, claims, query, "doc_id").filter("not raw").select(query)
+    tier2 = bm25(raw, questions.join(enough, query, "left_anti"), k, query=query)
+    return tier1.withColumn("tier", F.lit("catalog")).unionByName(tier2.withColumn("tier", F.lit("raw")))
 
 
 def fallback(found: DataFrame, claims: DataFrame, query: str = "doc_id", page: str = "item_id") -> DataFrame:

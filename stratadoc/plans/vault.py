@@ -51,8 +51,17 @@ def candidates(spark, d) -> DataFrame:
     return packet.candidates(delta_documents(spark, d), table(spark, d, "benchmark"))
 
 
+def site(spark, d) -> DataFrame:
+    """The pages with a link to another one of them in two of three, for want of real ones: to the page with half its id."""
+    p = table(spark, d, "pages")
+    other = p.select(F.col("page_id").alias("to"), F.col("url").alias("to_url"))
+    linked = p.join(other, (F.expr("page_id div 2") == F.col("to")) & (F.col("page_id") % 3 != 0), "left")
+    link = F.when(F.col("to_url").isNull(), "").otherwise(F.concat(F.lit('<a href="'), "to_url", F.lit('">')))
+    return linked.select("page_id", "url", F.concat("html", link).alias("html"))
+
+
 def links(spark, d) -> DataFrame:
-    return graph.html_links(table(spark, d, "pages"))
+    return graph.html_links(site(spark, d))
 
 
 def similar(spark, d) -> DataFrame:
@@ -60,9 +69,9 @@ def similar(spark, d) -> DataFrame:
 
 
 def clusters(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
-    confirmed = graph.similar(docs).filter("status = 'confirmed'").select("a", "b")
-    return graph.components(confirmed.unionByName(graph.copies(docs)))
+    prints = graph.fingerprints(table(spark, d, "documents"))
+    confirmed = graph.similar(prints).filter("status = 'confirmed'").select("a", "b")
+    return graph.components(confirmed.unionByName(graph.copies(prints)))
 
 
 def wiki(spark, d) -> DataFrame:
@@ -108,7 +117,16 @@ def search(spark, d, method) -> DataFrame:
     return method(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def page_edges(spark, d) -> DataFrame:
+    """Links between the pages of the benchmark, for want of real ones: each page links to the one with half its number."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("src"), F.expr("item_id div 2").alias("dst"))
+
+
 def answers(spark, d) -> DataFrame:
-    """Questions from the benchmark, page titles as the catalog, documents as the raw sources."""
-    catalog = wiki(spark, d).select(F.col("page").alias("doc_id"), F.col("title").alias("text"))
-    return retrieval.answer(table(spark, d, "benchmark"), catalog, table(spark, d, "documents"), 20.0)
+    """Questions from the benchmark, page titles as the catalog, documents as the raw sources; pages claim a language by their title."""
+    w = wiki(spark, d)
+    kind = F.when(F.col("page") % 3 == 0, "low").when(F.col("page") % 3 == 1, "medium").otherwise("high")
+    catalog = w.select(F.col("page").alias("doc_id"), F.col("title").alias("text"), kind.alias("confidence"))
+    claims = w.select(F.col("page").alias("doc_id"), F.lit("lang").alias("attribute"), F.col("lang").alias("value"))
+    questions = table(spark, d, "benchmark").withColumn("needs_precision", F.col("item_id") % 7 == 0)
+    return retrieval.answer(questions, catalog, table(spark, d, "documents"), claims)
