@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratadoc.functions import text as T
+from stratadoc.functions.tables import filesystem
 
 # Search collections and their folders; domains and their colors; page kinds of clients.
 COLLECTIONS = {"data": "Data", "level-knowledge": "Level Knowledge", "level-playbook": "Level Playbook"}
@@ -17,24 +18,49 @@ CLIENT_PAGES = ("overview", "issues", "trends", "sentiment", "wins")
 CONFIDENCE = ("high", "medium", "low")
 
 
-def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Hash inventory of all files below ``root``: path, folder, length, mtime, sha256. An empty folder gives no rows.
+def _below(spark: SparkSession, path: Column, root: str) -> Column:
+    """A path relative to ``root``; Spark writes ``file:///x`` in some places and ``file:/x`` in others."""
+    fs, p = filesystem(spark, root)
+    whole = fs.makeQualified(p).toString().rstrip("/")
+    return F.regexp_replace(path, "^([A-Za-z]+):///", "$1:/").substr(F.lit(len(whole) + 2), F.lit(1 << 30))
+
+
+def _decoded(path: Column) -> Column:
+    """An encoded path as it is; unlike in a form, ``+`` stands for itself."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
-    Spark's file scans skip files without bytes, so an empty file counts as absent until it has content.
+
+def contents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, content, mtime) of all files below ``root``.
+
+    Spark's scans skip files without bytes, but its listing has them: they are
+    those listed and not read, and have no mtime.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.regexp_replace("path", r"^.*?" + r"\Q" + root.rstrip("/").split("/")[-1] + r"/\E", "")
-    return files.select(
-        below.alias("path"), F.when(below.contains("/"), F.substring_index(below, "/", 1)).alias("folder"), "length",
-        F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"),
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    jvm = spark.sparkContext._jvm
+    names = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(files._jdf.inputFiles())
+    listed = DataFrame(spark._jsparkSession.createDataset(names, jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    read = files.select(_below(spark, F.col("path"), root).alias("path"), "content", F.col("modificationTime").alias("mtime"))
+    empty = listed.select(_below(spark, _decoded(F.col("value")), root).alias("path")).join(files.filter("length > 0").select(_below(spark, F.col("path"), root).alias("path")), "path", "left_anti")
+    return read.filter("length(content) > 0").unionByName(empty.select("path", F.lit(b"").alias("content"), F.lit(None).cast("timestamp").alias("mtime")))
+
+
+def inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Hash inventory of all files below ``root``, empty ones too: path, folder, length, mtime, sha256. An empty folder gives no rows."""
+    folder = F.when(F.col("path").contains("/"), F.substring_index("path", "/", 1)).alias("folder")
+    return contents(spark, root).select("path", folder, F.octet_length("content").cast("long").alias("length"), "mtime", F.sha2("content", 256).alias("sha256"))
+
+
+def texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, text, sha256) of all files below ``root``, the hash being that of the very bytes that the text is made of."""
+    return contents(spark, root, pattern).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.sha2("content", 256).alias("sha256"))
 
 
 def pages(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """Whole Markdown pages with what is parsed of them: frontmatter, sections, links, references, notes."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"^.*?" + r"\Q" + root.rstrip("/").split("/")[-1] + r"/\E", "")
-    return parse(raw.select(F.url_decode(path).alias("path"), F.col("value").alias("text")))
+    path = _below(spark, _decoded(F.col("_metadata.file_path")), root)
+    return parse(raw.select(path.alias("path"), F.col("value").alias("text")))
 
 
 def parse(raw: DataFrame) -> DataFrame:

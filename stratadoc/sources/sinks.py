@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratadoc.functions.tables import filesystem as _fs
+from stratadoc.operators import graph
+
+CATALOG = "heading string, target string"
+#: Color groups of a settings file at most.
+GROUPS = 10_000
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -15,37 +22,64 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p = _fs(spark, root)
+def write_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
+    """Writes a small file whole: beside its place first, then moved there in one step.
+
+    Without ``replace`` it is an error if there is a file already.
+    """
+    fs, fresh = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    _, target = _fs(spark, path)
+    fs.mkdirs(target.getParent())
+    out = fs.create(fresh, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE if replace else hadoop.Options.Rename.NONE
+    context = hadoop.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(fresh), fs.makeQualified(target), how)
+    except Exception:
+        fs.delete(fresh, False)
+        raise
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file whole; nothing if there is none."""
+    if not exists(spark, path):
+        return None
+    row = spark.read.text(path, wholetext=True).first()
+    return row[0] if row else ""
+
+
+def current(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """Number and folder of the version that is valid: the one with the highest commit."""
+    fs, p = _fs(spark, f"{root}/commits")
     if not fs.exists(p):
-        return []
-    names = (s.getPath().getName() for s in fs.listStatus(p))
-    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+        return None
+    numbers = [int(n) for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.isdigit()]
+    return (max(numbers), read_text(spark, f"{root}/commits/{max(numbers):012d}")) if numbers else None
 
 
 def read_current(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The version that the pointer names; an empty table before the first one."""
-    fs, p = _fs(spark, f"{root}/CURRENT")
-    if not fs.exists(p):
+    """The valid version; an empty table before the first one."""
+    at = current(spark, root)
+    if at is None:
         return spark.createDataFrame([], schema)
-    version = spark.read.text(f"{root}/CURRENT").first()[0]
-    return spark.read.schema(schema).parquet(f"{root}/{version}")
+    return spark.read.schema(schema).parquet(f"{root}/{at[1]}")
 
 
 def write_version(frame: DataFrame, root: str) -> str:
-    """Writes a new version beside the old ones, then moves the pointer: the pointer is the commit."""
+    """Writes a new version beside the old ones, then its commit: a file with the next number, which appears whole or not at all.
+
+    A run that stops before that leaves the version before valid. Of two writers
+    that start from the same version the second fails.
+    """
     spark = frame.sparkSession
-    version = f"v{max(_versions(spark, root), default=0) + 1}"
+    at = current(spark, root)
+    version = f"v-{uuid.uuid4().hex}"
     frame.write.parquet(f"{root}/{version}")
-    fs, target = _fs(spark, f"{root}/CURRENT")
-    _, fresh = _fs(spark, f"{root}/CURRENT.next")
-    out = fs.create(fresh, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(fresh, target):
-        raise OSError(f"the pointer of {root} could not be moved")
+    write_text(spark, f"{root}/commits/{(at[0] if at else 0) + 1:012d}", version, replace=False)
     return version
 
 
@@ -89,6 +123,38 @@ def write_if_changed(frame: DataFrame, current: DataFrame, path: str) -> bool:
     return not same
 
 
+def write_settings(spark: SparkSession, path: str, groups: DataFrame) -> bool:
+    """Puts the color groups (query, color) into a settings file if they are not what it has; tells whether it wrote.
+
+    Every other setting, what else a group that stays has, and the order of such
+    groups are kept. More than GROUPS groups are an error: the file is one object.
+    """
+    rows = groups.select("query", "color").distinct().limit(GROUPS + 1).collect()
+    if len(rows) > GROUPS:
+        raise ValueError(f"more than {GROUPS} color groups")
+    wanted = {r.query: int(r.color.lstrip("#"), 16) for r in rows}
+    settings = json.loads(read_text(spark, path) or "{}")
+    before = settings.get("colorGroups") or []
+    after = []
+    for g in before:
+        if (rgb := wanted.pop(g.get("query"), None)) is not None:
+            after.append({**g, "color": {**(g.get("color") or {"a": 1}), "rgb": rgb}})
+    after += [{"query": q, "color": {"a": 1, "rgb": rgb}} for q, rgb in sorted(wanted.items())]
+    if after == before:
+        return False
+    write_text(spark, path, json.dumps({**settings, "colorGroups": after}, ensure_ascii=False, indent=2))
+    return True
+
+
+def update_catalog(spark: SparkSession, entries: DataFrame, root: str) -> bool:
+    """Writes the catalog (heading, target) anew if it lacks an entry or lists one in vain; tells whether it wrote."""
+    entries = entries.select("heading", "target").distinct()
+    if not graph.catalog_changes(entries, read_current(spark, root, CATALOG)).head(1):
+        return False
+    write_version(entries, root)
+    return True
+
+
 def snapshot(pages: DataFrame, selected: DataFrame, path: str) -> None:
     """Copies the pages that are about to change."""
     pages.join(selected.select("path").distinct(), "path", "left_semi").write.parquet(path)
