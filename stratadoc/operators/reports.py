@@ -13,6 +13,8 @@ from stratadoc.functions import text as T
 
 #: Days that are upcoming, or recently completed; rows of evidence a subject.
 HORIZON, EVIDENCE = 7, 3
+#: Days without a message that are a lapse.
+LAPSE = 14
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
@@ -151,7 +153,7 @@ def opportunities(metrics: DataFrame, k: int = 3) -> DataFrame:
     mean = metrics.groupBy("metric").agg(F.avg("value").alias("mean"))
     order = W.partitionBy("metric").orderBy("value", "subject")
     worst = metrics.filter("value is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return worst.join(F.broadcast(mean), "metric").select("metric", "subject", "value", "rank", F.round(F.col("mean") - F.col("value"), 6).alias("lacks"))
+    return worst.join(mean, "metric").select("metric", "subject", "value", "rank", F.round(F.col("mean") - F.col("value"), 6).alias("lacks"))
 
 
 def sentiment(rows: DataFrame) -> DataFrame:
@@ -184,3 +186,29 @@ def critique(promised: DataFrame) -> DataFrame:
     """(subject, n, n_late, late_share, worst_delay) of (subject, delay): delays in days, late above 0."""
     late = F.count_if(F.col("delay") > 0)
     return promised.groupBy("subject").agg(F.count("*").alias("n"), late.alias("n_late"), F.round(late / F.count("*"), 6).alias("late_share"), F.max("delay").cast("long").alias("worst_delay")).filter("n_late > 0")
+
+
+def findings(promises: DataFrame, messages: DataFrame, as_of: date, window: tuple[date, date] | None = None, lapse: int = LAPSE) -> DataFrame:
+    """(run_date, finding, subject, n, worst): what fell short in a time window, by default the week that ends with ``as_of``.
+
+    ``promises`` has subject, made, due and done (null: not yet), ``messages``
+    subject and day. Missed: due in the window and not done by its end, worst in
+    days overdue. Delayed: done in it after they were due. Overpromised: more
+    made than done in it. Lapsed: messages in it that ended more than ``lapse``
+    days without any.
+    """
+    start, end = (F.lit(d) for d in window or time_window("last 7 days", as_of))
+    inside = lambda c: (F.col(c) >= start) & (F.col(c) < end)
+    one = lambda rows, name, n, worst: rows.groupBy("subject").agg(n.alias("n"), worst.cast("long").alias("worst")).withColumn("finding", F.lit(name))
+    late = F.col("done").isNull() | (F.col("done") >= end)
+    days = messages.select("subject", "day").distinct()
+    gaps = days.withColumn("gap", F.datediff("day", F.lag("day").over(W.partitionBy("subject").orderBy("day")))).filter(inside("day") & (F.col("gap") > lapse))
+    made, kept = F.count_if(inside("made")), F.count_if(F.coalesce(inside("done"), F.lit(False)))
+    out = [
+        one(promises.filter(inside("due") & late), "missed", F.count("*"), F.max(F.datediff(end, "due"))),
+        one(promises.filter(inside("done") & (F.col("done") > F.col("due"))), "delayed", F.count("*"), F.max(F.datediff("done", "due"))),
+        one(promises, "overpromised", made - kept, F.lit(None)),
+        one(gaps, "lapsed", F.count("*"), F.max("gap")),
+    ]
+    found = out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).filter("n > 0")
+    return found.select(F.lit(as_of).alias("run_date"), "finding", "subject", "n", "worst")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stratadoc.functions.tables import stage
 from stratadoc.operators import graph, lint, packet, reconcile, reports, retrieval, state
 from stratadoc.plans import vault as V
 from stratadoc.sources.files import DOMAIN_COLORS
@@ -38,12 +39,31 @@ DELTA = MANIFEST + """, j AS (SELECT path, sha256, old_path, old_sha256 FROM inv
     UNION ALL SELECT path, sha256, old_path, old_sha256, CASE WHEN path IS NULL THEN 'deleted' WHEN old_path IS NULL THEN 'new' ELSE 'moved' END
     FROM n FULL JOIN g ON sha256 = old_sha256 AND n.r = g.r)"""
 TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
-PACKET = DELTA + f""", src AS (SELECT doc_id, text FROM inv WHERE path IN (SELECT path FROM delta WHERE change_type IN ('new', 'changed'))),
-  pt AS (SELECT item_id, unnest(list_distinct({TOKENS.format("text")})) AS term FROM benchmark),
-  pdf AS (SELECT term, count(*) AS df FROM pt GROUP BY term HAVING count(*) <= 20),
-  st AS (SELECT doc_id, unnest(list_distinct({TOKENS.format("text")})) AS term FROM src),
-  sc AS (SELECT doc_id, item_id, round(sum(ln(1 + (SELECT count(*) FROM benchmark)::DOUBLE / df)), 4) AS score FROM st JOIN pt USING (term) JOIN pdf USING (term) GROUP BY ALL),
-  cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rank FROM sc QUALIFY rank <= 5)"""
+DIM = "cast('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64"
+
+
+def fused(left: str, right: str, l_id: str, r_id: str) -> str:
+    """``cand``: the best right rows of each left row, by the terms that both have and by their hashed vectors."""
+    tokens = TOKENS.format("text")
+    vector = lambda key, of: f"(SELECT {key}, {DIM} AS dim, count(*)::DOUBLE AS w FROM (SELECT {key}, unnest({tokens}) AS term FROM {of}) GROUP BY ALL)"
+    return f"""pt AS (SELECT {r_id}, unnest(list_distinct({tokens})) AS term FROM {right}),
+  pdf AS (SELECT term, count(*) AS df FROM pt GROUP BY term),
+  st AS (SELECT {l_id}, unnest(list_distinct({tokens})) AS term FROM {left}),
+  sc AS (SELECT {l_id}, {r_id}, round(sum(ln(1 + (SELECT count(*) FROM {right})::DOUBLE / df)), 4) AS score FROM st JOIN pt USING (term) JOIN pdf USING (term) GROUP BY ALL),
+  lv AS {vector(l_id, left)}, ln_ AS (SELECT {l_id}, sqrt(sum(w * w)) AS l_norm FROM lv GROUP BY ALL),
+  rv AS {vector(r_id, right)}, rn_ AS (SELECT {r_id}, sqrt(sum(w * w)) AS r_norm FROM rv GROUP BY ALL),
+  dots AS (SELECT {l_id}, {r_id}, sum(lv.w * rv.w) AS dot FROM lv JOIN rv USING (dim) GROUP BY ALL),
+  cs AS (SELECT {l_id}, {r_id}, round(dot / l_norm / r_norm, 6) AS cosine FROM dots JOIN ln_ USING ({l_id}) JOIN rn_ USING ({r_id})),
+  r1 AS (SELECT {l_id}, {r_id}, row_number() OVER (PARTITION BY {l_id} ORDER BY score DESC, {r_id}) AS r FROM sc QUALIFY r <= 50),
+  r2 AS (SELECT {l_id}, {r_id}, row_number() OVER (PARTITION BY {l_id} ORDER BY cosine DESC, {r_id}) AS r FROM cs QUALIFY r <= 50),
+  fu AS (SELECT {l_id}, {r_id}, round(coalesce(1 / (60.0 + r1.r)::DOUBLE, 0) + coalesce(1 / (60.0 + r2.r)::DOUBLE, 0), 8) AS fused FROM r1 FULL JOIN r2 USING ({l_id}, {r_id})),
+  cand AS (SELECT {l_id}, {r_id}, coalesce(score, 0.0) AS score, row_number() OVER (PARTITION BY {l_id} ORDER BY fused DESC, {r_id}) AS rank
+           FROM fu LEFT JOIN sc USING ({l_id}, {r_id}) QUALIFY rank <= 5)"""
+
+
+PACKET = DELTA + ", src AS (SELECT doc_id, text FROM inv WHERE path IN (SELECT path FROM delta WHERE change_type IN ('new', 'changed'))), " + fused("src", "benchmark", "doc_id", "item_id")
+BESIDE = """pe AS (SELECT item_id AS src, item_id // 2 AS dst FROM benchmark), pb AS (SELECT src, dst FROM pe WHERE src <> dst UNION SELECT dst, src FROM pe WHERE src <> dst),
+  beside AS (SELECT doc_id, dst AS item_id, arg_min(src, rank) AS via FROM cand JOIN pb ON src = item_id WHERE (doc_id, dst) NOT IN (SELECT (doc_id, item_id) FROM cand) GROUP BY doc_id, dst)"""
 
 
 @query(f"WITH {INVENTORY} SELECT path, sha256, length FROM inv")
@@ -96,12 +116,18 @@ def stale_index(spark, d):
     return retrieval.stale(V.inventory(spark, d), V.manifest(spark, d))
 
 
-BM25 = f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format("text")}) AS term FROM documents) GROUP BY ALL),
-  dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
-  c AS (SELECT count(*) AS n, (SELECT sum(dl)::DOUBLE FROM dl) AS total FROM documents),
-  q AS (SELECT item_id, unnest(list_distinct({TOKENS.format("text")})) AS term FROM benchmark),
-  s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (total / n))))), 4) AS score
-        FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), c GROUP BY ALL)"""
+def bm25_sql(docs: str = "documents", x: str = "") -> str:
+    """``s`` + x: (item_id, doc_id, score) of all texts of ``docs`` and questions of ``benchmark`` with a common term."""
+    tokens = TOKENS.format("text")
+    return f"""tf{x} AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens}) AS term FROM {docs}) GROUP BY ALL),
+  dl{x} AS (SELECT doc_id, sum(tf) AS dl FROM tf{x} GROUP BY ALL), df{x} AS (SELECT term, count(*) AS df FROM tf{x} GROUP BY ALL),
+  c{x} AS (SELECT count(*) AS n, (SELECT sum(dl)::DOUBLE FROM dl{x}) AS total FROM {docs}),
+  q{x} AS (SELECT item_id, unnest(list_distinct({tokens})) AS term FROM benchmark),
+  s{x} AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (total / n))))), 4) AS score
+        FROM q{x} JOIN tf{x} USING (term) JOIN df{x} USING (term) JOIN dl{x} USING (doc_id), c{x} GROUP BY ALL)"""
+
+
+BM25 = bm25_sql()
 
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5")
@@ -117,32 +143,42 @@ def vector_search(spark, d):
     return retrieval.nearest(e, e.filter("vec_id % 100 = 0"))
 
 
-@query(f"""WITH {BM25}, f AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS term_rank FROM s QUALIFY term_rank <= 20),
-  h AS (SELECT doc_id, cast('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS dim, sum(tf)::DOUBLE AS w FROM tf GROUP BY ALL),
-  qt AS (SELECT item_id, cast('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS dim, count(*)::DOUBLE AS w FROM (SELECT item_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
-  dot AS (SELECT item_id, doc_id, sum(h.w * qt.w) AS dot FROM f JOIN qt USING (item_id) JOIN h USING (doc_id, dim) GROUP BY ALL),
-  cs AS (SELECT item_id, doc_id, round(dot / (SELECT sqrt(sum(w * w)) FROM h WHERE h.doc_id = dot.doc_id) / (SELECT sqrt(sum(w * w)) FROM qt WHERE qt.item_id = dot.item_id), 6) AS cosine FROM dot),
-  r AS (SELECT item_id, doc_id, term_rank, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(cosine, 0.0) DESC, doc_id) AS vr FROM f LEFT JOIN cs USING (item_id, doc_id)),
-  u AS (SELECT item_id, doc_id, round(1 / (60.0 + term_rank)::DOUBLE + 1 / (60.0 + vr)::DOUBLE, 8) AS score FROM r)
+@query(f"""WITH {BM25}, h AS (SELECT doc_id, {DIM} AS dim, sum(tf)::DOUBLE AS w FROM tf GROUP BY ALL), hn AS (SELECT doc_id, sqrt(sum(w * w)) AS d_norm FROM h GROUP BY ALL),
+  qt AS (SELECT item_id, {DIM} AS dim, count(*)::DOUBLE AS w FROM (SELECT item_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+  qn AS (SELECT item_id, sqrt(sum(w * w)) AS q_norm FROM qt GROUP BY ALL),
+  dots AS (SELECT item_id, doc_id, sum(h.w * qt.w) AS dot FROM qt JOIN h USING (dim) GROUP BY ALL),
+  cs AS (SELECT item_id, doc_id, round(dot / d_norm / q_norm, 6) AS cosine FROM dots JOIN hn USING (doc_id) JOIN qn USING (item_id)),
+  r1 AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s QUALIFY r <= 50),
+  r2 AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) AS r FROM cs QUALIFY r <= 50),
+  u AS (SELECT item_id, doc_id, round(coalesce(1 / (60.0 + r1.r)::DOUBLE, 0) + coalesce(1 / (60.0 + r2.r)::DOUBLE, 0), 8) AS score FROM r1 FULL JOIN r2 USING (item_id, doc_id))
 SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM u QUALIFY rank <= 5""")
 def hybrid_search(spark, d):
     return V.search(spark, d, retrieval.hybrid)
 
 
-@query()
+# Titles of pages as the catalog: each page has a confidence and claims a language.
+TITLES = r"""titles AS (SELECT page_id AS doc_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS text, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages)"""
+
+
+@query(f"""WITH {TITLES}, {bm25_sql("titles", "_t")}, {BM25},
+  t1 AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s_t QUALIFY rank <= 5),
+  fl AS (SELECT item_id, bool_or(rank = 1 AND doc_id % 3 = 0) OR item_id % 7 = 0 OR min(lang) < max(lang) AS raw FROM t1 JOIN titles USING (doc_id) GROUP BY item_id),
+  t2 AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE item_id NOT IN (SELECT item_id FROM fl WHERE NOT raw) QUALIFY rank <= 5)
+SELECT *, 'catalog' AS tier FROM t1 UNION ALL SELECT *, 'raw' FROM t2""")
 def question_evidence(spark, d):
     return V.answers(spark, d)
 
 
-@query(f"WITH {PACKET} SELECT doc_id, item_id, score, rank FROM cand")
+@query(f"WITH {PACKET}, {BESIDE} SELECT doc_id, item_id, score, rank, 'search' AS origin FROM cand UNION ALL SELECT doc_id, item_id, NULL, NULL, 'graph' FROM beside")
 def ingest_packet(spark, d):
-    return V.candidates(spark, d)
+    return packet.with_graph(stage(V.candidates(spark, d), "packet"), V.page_edges(spark, d))
 
 
-@query(f"""WITH {PACKET}, l AS (SELECT *, lead(score) OVER (PARTITION BY doc_id ORDER BY rank) AS next_score FROM cand)
-SELECT *, round((score - next_score) / score, 6) AS margin FROM l WHERE rank = 1 AND next_score IS NOT NULL AND round((score - next_score) / score, 6) < 0.05""")
+@query(f"""WITH {PACKET}, l AS (SELECT *, lead(score) OVER (PARTITION BY doc_id ORDER BY rank) AS next_score FROM cand),
+  m AS (SELECT *, CASE WHEN score > 0 THEN round((score - next_score) / score, 6) ELSE 0.0 END AS margin FROM l WHERE rank = 1 AND next_score IS NOT NULL)
+SELECT * FROM m WHERE margin < 0.05""")
 def packet_ambiguities(spark, d):
-    return packet.ambiguities(V.candidates(spark, d))
+    return packet.ambiguities(V.candidates(spark, d).drop("fused"))
 
 
 @query(f"""WITH {PACKET}, best AS (SELECT doc_id, score FROM cand WHERE rank = 1)
@@ -152,9 +188,9 @@ def page_actions(spark, d):
 
 
 @query(f"""SELECT doc_id, lower(p_brand_word) AS tag, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS.format("text")}) AS term FROM documents) t
-JOIN (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS p_brand_word FROM benchmark WHERE item_id % 10 = 0) v ON term = lower(p_brand_word) GROUP BY ALL""")
+JOIN (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS p_brand_word FROM benchmark) v ON term = lower(p_brand_word) GROUP BY ALL""")
 def taxonomy_cues(spark, d):
-    vocabulary = V.table(spark, d, "benchmark").filter("item_id % 10 = 0").select(F.explode(F.split(F.lower("text"), " ")).alias("tag")).distinct()
+    vocabulary = V.table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("tag")).distinct()
     return packet.cues(V.table(spark, d, "documents"), vocabulary)
 
 
@@ -189,7 +225,8 @@ def notes_protected(spark, d):
     return packet.touched_notes(before, after)
 
 
-LINKS = r"""l AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages),
+LINKS = r"""site AS (SELECT p.page_id, p.url, p.html || CASE WHEN q.url IS NULL THEN '' ELSE '<a href="' || q.url || '">' END AS html FROM pages p LEFT JOIN pages q ON q.page_id = p.page_id // 2 AND p.page_id % 3 <> 0),
+  l AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM site),
   links AS (SELECT page_id, url, href, regexp_replace(CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/]+)', 1) || href ELSE href END, '[#?].*$', '') AS target FROM l),
   addr AS (SELECT DISTINCT regexp_replace(url, '[#?].*$', '') AS target FROM pages)"""
 
@@ -214,9 +251,12 @@ def entity_registry(spark, d):
     return graph.registry(V.table(spark, d, "pages"))
 
 
-@query(f"WITH {LINKS} SELECT DISTINCT regexp_replace(url, '[#?].*$', '') AS src, target AS dst, 'link' AS edge_type FROM links")
+@query(f"""WITH {LINKS}, {INVENTORY} SELECT DISTINCT regexp_replace(url, '[#?].*$', '') AS src, target AS dst, 'link' AS edge_type FROM links
+UNION SELECT regexp_replace(url, '[#?].*$', ''), path, 'reference' FROM pages JOIN inv ON doc_id = page_id""")
 def dependency_edges(spark, d):
-    return graph.dependencies(V.links(spark, d))
+    paths = V.table(spark, d, "documents").select("doc_id", V.path().alias("path"))
+    cited = V.table(spark, d, "pages").select("page_id", graph.address(F.col("url")).alias("page")).join(paths, F.col("doc_id") == F.col("page_id"))
+    return graph.dependencies(V.links(spark, d), cited)
 
 
 @query(rf"""WITH {LINKS}, e AS (SELECT DISTINCT regexp_replace(url, '[#?].*$', '') AS src, target AS dst FROM links)
@@ -245,9 +285,8 @@ def impact_set(spark, d):
 
 SIMILAR = f"""nd AS (SELECT min(doc_id) AS doc_id, any_value(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)),
   tt AS (SELECT doc_id, unnest(list_distinct({TOKENS.format("text")})) AS term FROM nd),
-  kp AS (SELECT doc_id, term FROM tt JOIN (SELECT term FROM tt GROUP BY term HAVING count(*) BETWEEN 2 AND 20) USING (term)),
-  sz AS (SELECT doc_id, count(*) AS n FROM kp GROUP BY ALL),
-  pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM kp x JOIN kp y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL),
+  sz AS (SELECT doc_id, count(*) AS n FROM tt GROUP BY ALL),
+  pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM tt x JOIN tt y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL),
   sim AS (SELECT a, b, round(shared::DOUBLE / (p.n + q.n - shared), 6) AS score FROM pr JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b),
   similar_pairs AS (SELECT a, b, score, CASE WHEN score >= 0.9 THEN 'confirmed' ELSE 'review' END AS status FROM sim WHERE score >= 0.7)"""
 CLUSTERS = SIMILAR + """, lk AS (SELECT a, b FROM similar_pairs WHERE status = 'confirmed'
@@ -263,9 +302,11 @@ def similar_sources(spark, d):
 
 
 @query(f"""WITH {SIMILAR} SELECT a, b, score, status, x.source AS folder_a, y.source AS folder_b FROM similar_pairs
-JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE status = 'confirmed' AND x.source <> y.source""")
+JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE status = 'confirmed' AND x.source <> y.source AND (a + b) % 3 <> 0""")
 def hidden_links(spark, d):
-    return graph.hidden(V.similar(spark, d), V.table(spark, d, "documents").select("doc_id", F.col("source").alias("folder")))
+    pairs = stage(V.similar(spark, d), "similar")
+    explicit = pairs.filter("(a + b) % 3 = 0").select("a", "b")  # links that the documents are taken to have
+    return graph.hidden(pairs, V.table(spark, d, "documents").select("doc_id", F.col("source").alias("folder")), explicit)
 
 
 @query(f"WITH {SIMILAR} SELECT a, b, score FROM similar_pairs WHERE status = 'review'")
@@ -302,7 +343,7 @@ ISSUES = f"""{LINKS}, {WIKI}, issues AS (
   UNION ALL SELECT 'orphan', 1, page_id::VARCHAR, url FROM pages WHERE regexp_replace(url, '[#?].*$', '') NOT IN (SELECT target FROM links WHERE regexp_replace(url, '[#?].*$', '') <> target)
   UNION ALL SELECT 'missing_metadata', 2, page::VARCHAR, k FROM (SELECT page, 'title' AS k, title AS v FROM wiki UNION ALL SELECT page, 'lang', lang FROM wiki UNION ALL SELECT page, 'author', author FROM wiki) WHERE v = ''
   UNION ALL SELECT 'stale', 1, page::VARCHAR, age_days::VARCHAR FROM wiki WHERE age_days > 90),
-  plan AS (SELECT row_number() OVER (ORDER BY severity DESC, rule, substr(page, 1, 2), page, detail) AS issue_no, * FROM issues)"""
+  plan AS (SELECT row_number() OVER (ORDER BY severity DESC, rule, page, detail) AS issue_no, * FROM issues)"""
 
 
 @query(f"WITH {WIKI} SELECT page, updated, age_days FROM wiki WHERE age_days > 90")
@@ -390,7 +431,7 @@ def task_briefing(spark, d):
 TODO = """WITH p AS (
     SELECT 'Order ' || o_custkey AS title, o_orderdate::DATE AS due, o_orderpriority AS priority, 'task' AS origin FROM orders WHERE o_orderstatus <> 'F'
     UNION ALL SELECT 'ORDER  ' || o_custkey, NULL, '3-MEDIUM', 'action' FROM orders WHERE o_orderstatus = 'P'
-    UNION ALL SELECT 'order ' || c_custkey, NULL, '5-LOW', 'carry' FROM customer WHERE c_acctbal < 0),
+    UNION ALL SELECT 'order ' || c_custkey, NULL, '5-LOW', 'carry' FROM customer WHERE c_acctbal < 0 AND c_custkey % 4 <> 0),
   q AS (SELECT *, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS norm, CASE WHEN due < DATE '{0}' THEN '1-overdue' WHEN priority[1] IN ('1', '2') THEN '2-high' WHEN due IS NULL THEN '4-carried' ELSE '3-normal' END AS l
         FROM p WHERE due IS NULL OR due < DATE '{1}')
 SELECT norm, min(title) AS title, min(due) AS due, min(l) AS label, count(DISTINCT origin) AS n_origins FROM q GROUP BY norm"""
@@ -402,7 +443,8 @@ def _todo(spark, d, window):
     none = F.lit(None).cast("timestamp_ntz").alias("due")
     actions = orders.filter("o_orderstatus = 'P'").select(F.concat(F.lit("ORDER  "), F.col("o_custkey").cast("string")).alias("title"), none, F.lit("3-MEDIUM").alias("priority"), F.lit("action").alias("origin"))
     before = customers.filter("c_acctbal < 0").select(F.concat(F.lit("- [ ] order "), F.col("c_custkey").cast("string"), F.lit("\n- [x] done")).alias("text"))
-    carried = reports.carried_over(before, before.limit(0).select(F.col("text").alias("title"))).select("title", none, F.lit("5-LOW").alias("priority"), F.lit("carry").alias("origin"))
+    completed = customers.filter("c_custkey % 4 = 0").select(F.concat(F.lit("Order  "), F.col("c_custkey").cast("string")).alias("title"))
+    carried = reports.carried_over(before, completed).select("title", none, F.lit("5-LOW").alias("priority"), F.lit("carry").alias("origin"))
     return reports.todo([tasks, actions, carried], *window)
 
 
@@ -499,21 +541,19 @@ def packet_unmatched(spark, d):
     return packet.unmatched(V.delta_documents(spark, d).select("doc_id"), V.candidates(spark, d), 10.0)
 
 
-@query(f"""WITH {PACKET}, e AS (SELECT item_id AS src, item_id // 2 AS dst FROM benchmark), b AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst)
-SELECT doc_id, dst AS item_id, arg_min(src, rank) AS via FROM cand JOIN b ON src = item_id WHERE (doc_id, dst) NOT IN (SELECT (doc_id, item_id) FROM cand) GROUP BY doc_id, dst""")
+@query(f"WITH {PACKET}, {BESIDE} SELECT * FROM beside")
 def packet_neighbours(spark, d):
-    edges = V.table(spark, d, "benchmark").select(F.col("item_id").alias("src"), F.expr("item_id div 2").alias("dst"))
-    return packet.neighbours(V.candidates(spark, d), edges)
+    return packet.neighbours(stage(V.candidates(spark, d), "packet"), V.page_edges(spark, d))
 
 
 @query(f"""WITH {PACKET}, f AS (SELECT doc_id, item_id, rank, CASE item_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, doc_id % 7 = 0 AS needs_precision FROM cand),
   p AS (SELECT doc_id, bool_or(rank = 1 AND confidence = 'low') AS low, bool_or(needs_precision) AS imprecise FROM f GROUP BY ALL),
-  c AS (SELECT doc_id, min(length(text) % 50) < max(length(text) % 50) AS contradicting FROM f JOIN benchmark USING (item_id) WHERE item_id % 4 = 0 GROUP BY ALL)
+  c AS (SELECT doc_id, min(length(text) % 50) < max(length(text) % 50) AS contradicting FROM f JOIN benchmark USING (item_id) GROUP BY ALL)
 SELECT doc_id, low, imprecise, coalesce(contradicting, false) AS contradicting, low OR imprecise OR coalesce(contradicting, false) AS raw FROM p LEFT JOIN c USING (doc_id)""")
 def raw_fallback(spark, d):
     kind = F.when(F.col("item_id") % 3 == 0, "low").when(F.col("item_id") % 3 == 1, "medium").otherwise("high")
-    found = V.candidates(spark, d).select("doc_id", "item_id", "rank", kind.alias("confidence"), (F.col("doc_id") % 7 == 0).alias("needs_precision"))
-    claims = V.table(spark, d, "benchmark").filter("item_id % 4 = 0").select("item_id", F.lit("length").alias("attribute"), (F.length("text") % 50).alias("value"))
+    found = stage(V.candidates(spark, d), "packet").select("doc_id", "item_id", "rank", kind.alias("confidence"), (F.col("doc_id") % 7 == 0).alias("needs_precision"))
+    claims = V.table(spark, d, "benchmark").select("item_id", F.lit("length").alias("attribute"), (F.length("text") % 50).alias("value"))
     return retrieval.fallback(found, claims)
 
 
