@@ -63,25 +63,34 @@ PAGE = "---\nconfidence: high\ntags: a: b\n---\n# T\nsee [[x]] and [[y|label]]\n
 
 @pytest.fixture
 def vault(tmp_path):
-    data = tmp_path / "Data"
+    # A folder of the same name above it must not matter.
+    data = tmp_path / "Data" / "v" / "Data"
     (data / "Inbox").mkdir(parents=True)
-    (data / "Inbox" / "ä b.md").write_text("één")
-    (data / "Inbox" / "empty.md").write_text("")
+    (data / "Inbox" / "ä+b c.md").write_text("één\n")
+    (data / "Inbox" / "%41.txt").write_bytes(b"bytes \xff |")
+    (data / "sub").mkdir()
+    (data / "sub" / "empty.md").write_text("")
     (data / "top.md").write_text(PAGE)
     return tmp_path
 
 
 def test_files_are_read_and_parsed(spark, vault):
-    inv = files.inventory(spark, str(vault / "Data"))
-    assert rows(inv, "path", "folder") == [("Inbox/ä b.md", "Inbox"), ("top.md", None)]
-    page = files.pages(spark, str(vault / "Data")).filter("path = 'top.md'").first()
+    root = str(vault / "Data" / "v" / "Data")
+    inv = files.inventory(spark, root)
+    assert rows(inv, "path", "folder", "length") == [("Inbox/%41.txt", "Inbox", 9), ("Inbox/ä+b c.md", "Inbox", 6), ("sub/empty.md", "sub", 0), ("top.md", None, len(PAGE))]
+    assert rows(inv.filter("length = 0"), "sha256") == [("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855",)]
+    assert rows(files.pages(spark, root), "path") == [("Inbox/ä+b c.md",), ("top.md",)]
+    assert rows(files.texts(spark, root).filter("path like '%txt'"), "text") == [("bytes \ufffd |",)]
+    page = files.pages(spark, root).filter("path = 'top.md'").first()
     assert page.frontmatter == {"confidence": "high", "tags": "a: b"}
     assert page.links == ["x", "y", "src/1", "src/2"] and page.references == ["src/1", "src/2"] and page.notes == "mine"
     assert [s.heading for s in page.sections] == ["References", "Notes"]
-    both = files.collections(spark, {"data": str(vault / "Data"), "level-knowledge": str(vault / "Data")})
+    both = files.collections(spark, {"data": root, "level-knowledge": root})
     assert rows(retrieval.index_status(both), "collection", "n_items") == [("data", 2), ("level-knowledge", 2)]
     empty = files.parse(frame(spark, [("p", None)], "path string, text string")).first()
     assert empty.frontmatter is None and empty.sections == [] and empty.notes is None
+    (vault / "none").mkdir()
+    assert files.inventory(spark, str(vault / "none")).count() == 0
 
 
 def test_policy_and_settings_files(spark, tmp_path):
@@ -96,35 +105,114 @@ def test_policy_and_settings_files(spark, tmp_path):
     assert files.images(spark, str(tmp_path)).count() == 1
 
 
+def places(tmp_path):
+    return [str(tmp_path / k) for k in ("manifest", "log", "wiki")]
+
+
 def test_ingest_accepts_only_after_all_stages(spark, vault, tmp_path):
-    data, where = str(vault / "Data"), {k: str(tmp_path / k) for k in ("manifest", "log", "wiki")}
-    text = PAGE.replace("src/1", "top").replace("src/2", "Inbox/ä b.md")
+    root = vault / "Data" / "v" / "Data"
+    text = PAGE.replace("src/1", "top").replace("src/2", "Knowledge/ä+b c.md").replace("see [[x]] and [[y|label]]", "see [[w]]")
     page = frame(spark, [("w.md", text)], "path string, text string")
     bad = frame(spark, [("w.md", text.replace("mine", "other"))], "path string, text string")
-    args = (spark, data, where["manifest"], where["log"], where["wiki"])
+    where = places(tmp_path)
+    args = (spark, str(root), *where)
 
-    def fails(sources, pages):
+    def fails(packet):
         raise RuntimeError("no reviewer")
 
     day = date(2024, 1, 2)
-    assert not ingest.ingest(*args, fails, day).accepted
-    assert not ingest.ingest(*args, lambda s, p: page, day, lambda: False).accepted
-    assert not sinks.exists(spark, where["manifest"] + "/CURRENT")
-    run = ingest.ingest(*args, lambda s, p: page, day)
-    assert run.accepted and [s for s, _ in run.stages] == ["detect", "packet", "review", "validate", "refresh", "accept"]
+    (root / "Inbox" / "stray").write_text("nowhere")
+    blocked = ingest.ingest(*args, fails, day)
+    assert blocked.stages == [("inbox", False)] and blocked.note == "blocked: stray"
+    assert (root / "Knowledge" / "ä+b c.md").exists() and (root / "Resources" / "%41.txt").exists()
+    (root / "Inbox" / "stray").unlink()
+    assert ingest.ingest(*args, fails, day).note.startswith("preflight: not_utf8")
+    (root / "Resources" / "%41.txt").unlink()
+    assert ingest.ingest(*args, fails, day).stages[-1] == ("review", False)
+    assert not ingest.ingest(*args, lambda p: page, day, lambda: False).accepted
+    assert sinks.current(spark, where[0]) is None
+    run = ingest.ingest(*args, lambda p: page, day)
+    assert run.accepted and [s for s, _ in run.stages] == ["inbox", "detect", "packet", "preflight", "review", "validate", "accept"]  # the pages were written before the refresh that failed
+    assert rows(sinks.read_current(spark, where[2] + "-catalog", sinks.CATALOG), "target") == [("w",)]
+    assert rows(sinks.read_current(spark, where[2] + "-state/dependencies", "src string, dst string, edge_type string"), "dst", "edge_type") == [("Knowledge/ä+b c", "reference"), ("top", "reference"), ("w", "link")]
     assert ingest.ingest(*args, fails, day).note == "nothing new"
-    (vault / "Data" / "new.md").write_text("n")
-    broken = ingest.ingest(*args, lambda s, p: bad, day)
+    (root / "new.md").write_text("see the page w of mine\n")
+    seen = {}
+
+    def review(p):
+        seen.update(sources=rows(p.sources, "path"), pages=rows(p.pages, "path"), found=rows(p.candidates, "path", "page", "origin"))
+        return bad
+
+    broken = ingest.ingest(*args, review, day)
     assert not broken.accepted and broken.stages[-1] == ("validate", False) and broken.note.endswith(": notes")
-    worse = frame(spark, [("v.md", PAGE + "\n"), ("u.md", text.replace("see", "ask a@b.cd"))], "path string, text string")
-    assert ingest.ingest(*args, lambda s, p: worse, day).note.endswith(": references, redaction")
-    assert ingest.ingest(*args, lambda s, p: page.unionByName(page), day).note.endswith(": repeated")
-    (vault / "Data" / "new.md").rename(vault / "Data" / "newer.md")
-    (vault / "Data" / "top.md").rename(vault / "Data" / "moved.md")
-    assert ingest.ingest(*args, lambda s, p: page, day).note.startswith("moved")
-    assert spark.read.parquet(where["log"]).count() == 1
-    ingest.bootstrap(spark, data, where["manifest"])
-    assert {r.change_type for r in state.delta(files.inventory(spark, data), sinks.read_current(spark, where["manifest"], state.MANIFEST)).collect()} == {"unchanged"}
+    assert seen == {"sources": [("new.md",)], "pages": [("w.md",)], "found": [("new.md", "w.md", "search")]}
+    worse = frame(spark, [("v.md", PAGE + "\n"), ("u.md", text.replace("see", "ask a@b.cd").replace("confidence", "c"))], "path string, text string")
+    assert ingest.ingest(*args, lambda p: worse, day).note.endswith(": metadata, confidence, references, redaction, dependencies")
+    assert ingest.ingest(*args, lambda p: page.unionByName(page), day).note.endswith(": repeated")
+    again = frame(spark, [("team/w.md", text)], "path string, text string")
+    assert ingest.ingest(*args, lambda p: again, day).note.endswith(": dependencies")
+    (root / "new.md").rename(root / "newer.md")
+    (root / "top.md").rename(root / "moved.md")
+    assert ingest.ingest(*args, lambda p: page, day).note.startswith("moved")
+    assert spark.read.parquet(where[1]).count() == 1
+    ingest.bootstrap(spark, str(root), where[0])
+    assert {r.change_type for r in state.delta(files.inventory(spark, str(root)), sinks.read_current(spark, where[0], state.MANIFEST)).collect()} == {"unchanged"}
+
+
+def test_a_file_that_changes_during_the_review_is_not_accepted(spark, vault, tmp_path):
+    root = vault / "Data" / "v" / "Data"
+    (root / "Inbox" / "%41.txt").unlink()
+    args = (spark, str(root), *places(tmp_path))
+    seen = {}
+
+    def review(p):
+        seen.update({r.path: r.sha256 for r in p.sources.collect()})
+        (root / "top.md").write_text("edited")
+        (root / "sub" / "empty.md").write_text("no more")
+        return frame(spark, [], "path string, text string")
+
+    assert ingest.ingest(*args, review, date(2024, 1, 2)).accepted
+    accepted = dict(rows(sinks.read_current(spark, args[2], state.MANIFEST), "path", "sha256"))
+    assert accepted == seen and len(seen) == 3
+    again = {}
+    assert ingest.ingest(*args, lambda p: again.update(dict(rows(p.sources, "path", "text"))) or frame(spark, [], "path string, text string"), date(2024, 1, 3)).accepted
+    assert again == {"top.md": "edited", "sub/empty.md": "no more"}
+    (root / "top.md").write_text("")  # a file that loses its content is changed and not gone
+    got = state.delta(files.inventory(spark, str(root)), sinks.read_current(spark, args[2], state.MANIFEST))
+    assert rows(got.filter("change_type <> 'unchanged'"), "path", "change_type") == [("top.md", "changed")]
+
+
+def test_only_pages_of_the_packet_may_be_rewritten(spark):
+    old = files.parse(frame(spark, [("a.md", PAGE), ("b.md", PAGE)], "path string, text string"))
+    found = ingest.findings(old, old, manifest(spark, [("src/1", "1"), ("src/2", "2")]), old.filter("path = 'a.md'"))
+    assert rows(found["outside"], "path") == [("b.md",)]
+    assert [k for k, v in found.items() if v.head(1)] == ["outside"]
+
+
+def test_a_version_is_valid_only_with_its_commit(spark, tmp_path):
+    root, schema = str(tmp_path / "t"), "n int"
+    one = frame(spark, [(1,)], schema)
+    sinks.write_version(one, root)
+    one.write.parquet(f"{root}/v-unfinished")  # a run that stopped before its commit
+    (tmp_path / "t" / "commits" / "000000000002.tmp").write_text("half")
+    assert rows(sinks.read_current(spark, root, schema), "n") == [(1,)]
+    at = sinks.current(spark, root)
+    sinks.write_version(frame(spark, [(2,)], schema), root)
+    with pytest.raises(Exception):  # a writer that started from the same version
+        sinks.write_text(spark, f"{root}/commits/{at[0] + 1:012d}", "v-late", replace=False)
+    assert rows(sinks.read_current(spark, root, schema), "n") == [(2,)]
+    assert not [p for p in (tmp_path / "t" / "commits").iterdir() if p.name.startswith("000000000002.") and "tmp" not in p.name and not p.name.endswith(".crc")]
+
+
+def test_settings_keep_what_is_not_theirs(spark, tmp_path):
+    path = tmp_path / "graph.json"
+    path.write_text(json.dumps({"scale": 2, "colorGroups": [{"query": "path:a", "color": {"a": 0.5, "rgb": 255}, "x": 1}, {"query": "path:old", "color": {"a": 1, "rgb": 1}}]}))
+    groups = frame(spark, [("path:a", "#0000ff"), ("tag:#n", "#000010")], "query string, color string")
+    assert sinks.write_settings(spark, str(path), groups) and not sinks.write_settings(spark, str(path), groups)
+    got = json.loads(path.read_text())
+    assert got == {"scale": 2, "colorGroups": [{"query": "path:a", "color": {"a": 0.5, "rgb": 255}, "x": 1}, {"query": "tag:#n", "color": {"a": 1, "rgb": 16}}]}
+    entries = frame(spark, [("team", "team/x")], sinks.CATALOG)
+    assert sinks.update_catalog(spark, entries, str(tmp_path / "c")) and not sinks.update_catalog(spark, entries, str(tmp_path / "c"))
 
 
 def test_sinks(spark, tmp_path):
@@ -288,6 +376,51 @@ def test_text_functions(spark):
     assert got == ["é", "a", "b", "1"]
 
 
+def test_similar_pairs_are_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.sample(base, r.randint(20, 60))) for _ in range(120)] + ["the", "the!", "", "the a", None, "the"]
+    for _ in range(30):  # a group of near copies larger than any limit on common terms
+        w = list(base)
+        w[r.randrange(60)] = f"x{r.randrange(9)}"
+        texts.append(" ".join(w))
+    sets = {}
+    for i, t in enumerate(texts):
+        if t is not None and t not in {texts[j] for j in sets}:
+            sets[i] = set(t.replace("!", "").split())
+    want = []
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and (j := round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) >= 0.7:
+                want.append((a, b, j))
+    got = graph.similar(frame(spark, list(enumerate(texts)), "doc_id long, text string"))
+    assert rows(got, "a", "b", "score") == sorted(want, key=str) and len(want) > 400
+    assert graph.similar(frame(spark, [], "doc_id long, text string")).count() == 0
+
+
+def test_matched_pages_are_the_same_in_one_block_or_many(spark, monkeypatch):
+    docs = [(i, " ".join(f"t{(i * k) % 17}" for k in range(1, 9))) for i in range(40)] + [(40, None), (41, "")]
+    pages = [(f"p{i}", " ".join(f"t{(i + k) % 23}" for k in range(6))) for i in range(30)] + [("none", None)]
+    sources, wiki = frame(spark, docs, "doc_id long, text string"), frame(spark, pages, "page string, text string")
+    cols = ("doc_id", "page", "score", "cosine", "fused", "rank")
+    one = rows(retrieval.matched(sources, wiki, 4, 5, page="page"), *cols)
+    monkeypatch.setattr(retrieval, "POSTINGS", 40)
+    assert one == rows(retrieval.matched(sources, wiki, 4, 5, page="page"), *cols) and len(one) >= 150
+    assert retrieval.matched(sources, wiki.limit(0), 4, page="page").count() == 0
+
+
+def test_hybrid_finds_what_has_no_common_term(spark, monkeypatch):
+    docs = frame(spark, [(1, "red fox"), (2, "fox fox dog"), (3, None)], "doc_id long, text string")
+    queries = frame(spark, [(i, t) for i, t in enumerate(["red", "fox", "", "dog cat"])], "item_id long, text string")
+    got = rows(retrieval.hybrid(docs, queries), "item_id", "doc_id", "score", "rank")
+    assert {(q, d) for q, d, *_ in got} >= {(0, 1), (1, 1), (1, 2), (3, 2)}
+    near = rows(retrieval.closest(docs, queries, 1), "item_id", "doc_id", "cosine")
+    monkeypatch.setattr(retrieval, "QUERY_VECTORS", 1)
+    assert rows(retrieval.closest(docs, queries, 1), "item_id", "doc_id", "cosine") == near and (1, 2) in {(q, d) for q, d, _ in near}
+
+
 def test_fallback_and_references(spark):
     found = frame(spark, [(1, 10, 1, "low", False), (2, 11, 1, "high", None), (2, 12, 2, "low", False), (3, 11, 1, None, True), (4, 12, 1, "high", False)], "doc_id long, item_id long, rank int, confidence string, needs_precision boolean")
     claims = frame(spark, [(11, "a", "x"), (12, "a", "y"), (12, "a", None), (10, "a", None)], "item_id long, attribute string, value string")
