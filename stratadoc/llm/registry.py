@@ -1,10 +1,8 @@
-"""Queries and oracles of this subpackage."""
+"""Queries and oracles of this subpackage; ``corpus_pipeline.py`` has its own."""
 
-import corpus_pipeline
 from stratadoc.llm import bpe, exact_dedup, media, mixing, near_dedup, pii, secret_scan, suffix_tree, toxicity, warc
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_probminhash": near_dedup.op1_probminhash,
     "op2_jpeg_media": media.op2_jpeg_media,
     "op3_toxicity": toxicity.op3_toxicity,
