@@ -325,8 +325,8 @@ class Lookup:
         self.end_known = int(END in frequent)
 
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int32()), ("word", pa.binary()), ("n", pa.int32()), ("of", pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))])
-_ROWS_SQL = "doc_id long, tie int, word binary, n int, of struct<n_tokens:long,n_known:long,base:double,score:double>"
+_ROWS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("word", pa.binary()), ("n", pa.int32()), ("of", pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))])
+_ROWS_SQL = "doc_id long, tie long, word binary, n int, of struct<n_tokens:long,n_known:long,base:double,score:double>"
 
 
 def _keys(grams: np.ndarray) -> pa.Array:
@@ -355,7 +355,7 @@ def _score(shipped):
                 rest, of = window[~found], np.repeat(np.arange(a, b), np.diff(starts) - DEPTH)[~found]
                 out: list[list] = [[], [], [], [], []]
                 add = [c.append for c in out]
-                ties = [xxhash.xxh32_intdigest(t.encode()) - (1 << 31) for t in texts[a:b]]
+                ties = [xxhash.xxh64_intdigest(t.encode()) - (1 << 63) for t in texts[a:b]]
                 for doc, tie, w, s in zip(ids[a:b], ties, each, scores):
                     base, known = look.end, look.end_known
                     for word, n in Counter(w).items():
@@ -369,7 +369,7 @@ def _score(shipped):
                     add[0](doc), add[1](tie), add[2](b" %d %d" % (doc or 0, tie)), add[3](0)
                     add[4]({"n_tokens": len(w) + 1, "n_known": known, "base": base, "score": float(s)})
                 yield from _batches(out, _ROWS)
-                docs, tied = batch.column("doc_id"), pa.array(ties, pa.int32())
+                docs, tied = batch.column("doc_id"), pa.array(ties, pa.int64())
                 for i in range(0, len(rest), ROWS):
                     at = of[i : i + ROWS]
                     one = pa.array(np.ones(len(at), np.int32))
