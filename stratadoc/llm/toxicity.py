@@ -4,8 +4,9 @@ A word's embedding is the sum of hashed embeddings of the word and of its first
 3 to 6 characters, so that inflected forms share most of it. Filters of widths
 1 to 3 run over the words of a text; each filter's largest response in the whole
 text, through a rectifier, goes into a logistic output. A threshold is
-calibrated for each language on rows that the weights were not fitted to; the
-language is guessed from function words of the text itself. A score is the
+calibrated for each language by cross-validation, on outputs of models that were
+not fitted to the row; the language is guessed from function words of the text
+itself. A score is the
 logistic of the output less the threshold, so 0.5 is each language's threshold.
 
 Labels are learned from rows whose crc32(doc_id as text) mod 5 is not 0, at most
@@ -40,10 +41,10 @@ PREFIXES = (3, 4, 5, 6)
 EPOCHS, BATCH, RATE, EMBED_RATE, DECAY = 8, 32, 0.005, 5.0, 1e-4
 #: Deviation of the first embeddings: small, so that words never met say little.
 SPREAD = 0.005
-#: One row in so many of the sample is kept for the thresholds.
-HOLD = 5
-#: A language gets a threshold of its own from so many rows of either label on.
-LEAST_ROWS = 8
+#: Parts of the sample that are left out in turn for the thresholds.
+HOLD = 3
+#: Rows of the rarer label by which a language's threshold is drawn to the common one.
+PULL = 8
 #: Characters scored together, and words whose hashes a worker keeps.
 CHUNK, MOST_WORDS = 1 << 20, 150_000
 # Function words by language.
@@ -183,28 +184,17 @@ def languages(ids, starts, words: Words) -> np.ndarray:
     return np.where(counts.max(1) > 0, counts.argmax(1), len(LANGUAGES) - 1)
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
-    """Trains on these texts by Adam; the thresholds are set on one text in ``HOLD``."""
-    model, words = Model(seed), Words(1 << 60)
-    labels = np.asarray(labels, np.float32)
-    if not len(texts) or labels.min() == labels.max():
-        share = float(labels.mean()) if len(texts) else 0.0
-        model.out[:] = 0
-        model.prior[:] = np.log((share * len(texts) + 0.5) / ((1 - share) * len(texts) + 1.5))
-        return model
-    each = [words.read([t])[0] for t in texts]
-    r = np.random.default_rng(seed)
-    order = r.permutation(len(texts))
-    held, train = order[::HOLD], np.delete(order, np.s_[::HOLD])
-    if labels[train].min() == labels[train].max():
-        train = order
-    share = labels[train].mean()
+def batch(each: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These texts' words end to end, and where each begins."""
     pad = max(WIDTHS) - 1
+    ids = np.concatenate([each[rows[0]][:pad], *[each[i][pad:] for i in rows]])
+    return ids, np.concatenate([[0], np.cumsum([len(each[i]) - pad for i in rows])[:-1]])
 
-    def batch(rows):
-        ids = np.concatenate([each[rows[0]][:pad], *[each[i][pad:] for i in rows]])
-        return ids, np.concatenate([[0], np.cumsum([len(each[i]) - pad for i in rows])[:-1]])
 
+def optimised(each: list[np.ndarray], labels: np.ndarray, train: np.ndarray, hashes: np.ndarray, seed: int) -> Model:
+    """A model of the rows ``train``, by Adam."""
+    model, r, train = Model(seed), np.random.default_rng(seed), train.copy()
+    share = labels[train].mean()
     params = {"bias": model.bias, "out": model.out, "prior": model.prior} | {f"filter{i}": f for i, f in enumerate(model.filters)}
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
@@ -214,7 +204,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         for i in range(0, len(train), BATCH):
             rows = train[i : i + BATCH]
             y = labels[rows]
-            g = model.step(*batch(rows), words.hashes, y, np.where(y > 0, 0.5 / share, 0.5 / (1 - share)))
+            g = model.step(*batch(each, rows), hashes, y, np.where(y > 0, 0.5 / share, 0.5 / (1 - share)))
             g |= {f"filter{j}": x for j, x in enumerate(g.pop("filters"))}
             t += 1
             model.embed -= EMBED_RATE * (g.pop("embed") + DECAY * model.embed)
@@ -223,19 +213,55 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
                 first[k] += 0.1 * (grad - first[k])
                 second[k] += 0.001 * (grad * grad - second[k])
                 v -= RATE * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+    return model
+
+
+def outputs(model: Model, each: list[np.ndarray], rows: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The model's outputs and the guessed languages of these rows."""
+    z, lang = [np.zeros(0)], [np.zeros(0, np.int64)]
+    for i in range(0, len(rows), 256):
+        ids, starts = batch(each, rows[i : i + 256])
+        z.append(model.output(ids, starts, words.hashes))
+        lang.append(languages(ids, starts, words))
+    return np.concatenate(z), np.concatenate(lang)
+
+
+def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
+    """Trains on these texts; the thresholds are set on outputs of models that have not seen the text, as ``HOLD`` parts are left out in turn."""
+    words = Words(1 << 60)
+    labels = np.asarray(labels, np.float32)
+    if not len(texts) or labels.min() == labels.max():
+        model, share = Model(seed), float(labels.mean()) if len(texts) else 0.0
+        model.out[:] = 0
+        model.prior[:] = np.log((share * len(texts) + 0.5) / ((1 - share) * len(texts) + 1.5))
+        return model
+    each = [words.read([t])[0] for t in texts]
+    order = np.random.default_rng(seed).permutation(len(texts))
+    order = order[np.argsort(labels[order], kind="stable")]  # so that the parts have alike shares of either label
     z, lang = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for i in range(0, len(texts), 256):
-        rows = order[i : i + 256]
-        ids, starts = batch(rows)
-        z[rows], lang[rows] = model.output(ids, starts, words.hashes), languages(ids, starts, words)
-    everywhere = threshold(z[held], labels[held])
-    for k in range(len(LANGUAGES)):
-        rows = held[lang[held] == k]
-        enough = min((labels[rows] > 0).sum(), (labels[rows] == 0).sum()) >= LEAST_ROWS
-        model.thresholds[k] = threshold(z[rows], labels[rows]) if enough else everywhere
+    seen = np.zeros(len(texts), bool)
+    for k in range(HOLD):
+        held, train = order[k::HOLD], np.delete(order, np.s_[k::HOLD])
+        if len(held) and labels[train].min() < labels[train].max():
+            z[held], lang[held] = outputs(optimised(each, labels, train, words.hashes, seed + 1 + k), each, held, words)
+            seen[held] = True
+    model = optimised(each, labels, order, words.hashes, seed)
+    model.thresholds[:] = calibrated(z[seen], labels[seen], lang[seen])
     return model
 
 
+def calibrated(z: np.ndarray, y: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """The threshold of each language: its own, drawn towards that of all by the weight of ``PULL`` rows."""
+    everywhere = threshold(z, y)
+    out = np.full(len(LANGUAGES), everywhere, np.float32)
+    for k in range(len(LANGUAGES)):
+        rows = lang == k
+        n = min((y[rows] > 0).sum(), (y[rows] == 0).sum())
+        if n:
+            out[k] = (n * threshold(z[rows], y[rows]) + PULL * everywhere) / (n + PULL)
+    return out
+
+
 def threshold(z: np.ndarray, y: np.ndarray) -> float:
     """The middle of the widest range of outputs that gives the least sum of the two error rates."""
     if not len(y) or y.min() == y.max():

@@ -91,6 +91,47 @@ def test_probminhash_estimates_probability_jaccard():
     assert abs((s[0] == s[1]).mean() - exact) < 0.04
 
 
+def recall(pairs) -> dict:
+    """Share of pairs that are in a common bucket, by their similarity."""
+    met, all_ = Counter(), Counter()
+    for a, b in pairs:
+        sim = near_dedup.jaccard(near_dedup.shingle_set(a), near_dedup.shingle_set(b))
+        band = next((x for x in (0.95, 0.9, 0.85, 0.8) if sim >= x), None)
+        if band:
+            with np.errstate(over="ignore"):
+                one, two = near_dedup.candidate_buckets(2, *near_dedup.shingles([a.encode().split(), b.encode().split()]))
+            all_[band] += 1
+            met[band] += bool(set(one.tolist()) & set(two.tolist()))
+    return {band: (met[band] / n, n) for band, n in all_.items()}
+
+
+def test_near_dedup_recall_by_similarity():
+    """Pairs of every similarity from 0.8 on, with and without lines that one of the texts repeats."""
+    r, pairs = random.Random(17), []
+    for k in range(500):
+        a = [f"d{k}w{i}" for i in range(404)]
+        b = list(a)
+        for i in r.sample(range(404), r.randint(1, 9)):
+            b[i] = f"x{k}_{i}"
+        pairs.append((" ".join(a), " ".join(b)))
+        line = [f"d{k}l{i}" for i in range(r.choice([10, 40, 60, 80]))]
+        pairs.append((" ".join(a), " ".join(a + line * r.choice([1, 5, 60, 300]))))
+    found = recall(pairs)
+    print(found)
+    assert set(found) == {0.8, 0.85, 0.9, 0.95} and all(share >= 0.98 and n >= 60 for share, n in found.values()), found
+
+
+def test_near_dedup_of_an_id_with_several_texts(spark):
+    """Each text of a repeated id is compared, all are in one class, and reruns agree."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(50))
+    rows = [(1, text("a")), (2, text("b")), (5, text("a") + " more"), (5, text("b") + " more"), (7, text("c")), (7, text("d")), (7, text("d")), (9, text("d") + " more"), (11, text("e"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(i, 1) for i in (1, 2, 5, 5)] + [(i, 7) for i in (7, 7, 7, 9)] + [(11, 11)])
+    for n in (1, 4):
+        assert by_id(near_dedup.classes(frame.repartition(n)), "class_id") == want
+    assert sorted(r.doc_id for r in near_dedup.representatives(frame).collect()) == [1, 7, 7, 7, 11]
+
+
 def test_near_dedup_finds_pairs_whose_shingles_repeat_in_one_text_only(spark):
     texts = []
     for i in range(30):
@@ -138,6 +179,29 @@ def test_media_round_trip(docs, rows, none):
     assert media.digests(none).count() == 0
 
 
+def slow_hashes(thumb):
+    """Both hashes over 8 x 8 boxes, one box after the other; a box of a thumbnail smaller than that is the pixel it begins at."""
+    h, w = thumb.shape
+    mean = [[0.0] * 8 for _ in range(8)]
+    for y in range(8):
+        for x in range(8):
+            rows = range(y * h // 8, max((y + 1) * h // 8, y * h // 8 + 1))
+            cols = range(x * w // 8, max((x + 1) * w // 8, x * w // 8 + 1))
+            mean[y][x] = sum(int(thumb[a, b]) for a in rows for b in cols) / (len(rows) * len(cols))
+    every = sum(map(sum, mean)) / 64
+    bits = lambda f: "%016x" % int("".join("1" if f(y, x) else "0" for y in range(8) for x in range(8)), 2)
+    return bits(lambda y, x: mean[y][x] > every), bits(lambda y, x: mean[y][x] > mean[y][(x + 1) % 8])
+
+
+def test_media_features_are_those_of_the_thumbnail(docs, rows):
+    got = {r.doc_id: r.feature for r in media.digests(docs).collect()}
+    for i, t, *_ in rows:
+        payload = np.frombuffer(media.payload(t or "")[1], np.uint8)
+        width = int(got[i].split("x")[0]) // 8
+        a, d = slow_hashes(payload.reshape(-1, width))
+        assert got[i].split(":")[1:] == [a, d], t
+
+
 def test_media_with_several_images():
     p = bytes(random.Random(1).randrange(256) for _ in range(576 * (media.MOST_UNITS + 3)))
     images = media.encode([p, p[:576]])
@@ -236,6 +300,71 @@ def test_toxicity_learns_a_word_and_keeps_to_its_folds(spark, none):
     assert kept.columns == ["doc_id", "text", "score"] and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s < 0.5}
 
 
+def test_toxicity_gradients_and_convolution():
+    """The gradients are the slopes of the loss, and the outputs those of a convolution done window by window."""
+    words_, r = toxicity.Words(1 << 60), np.random.default_rng(4)
+    texts = ["alpha beta gamma", "beta", "", "delta alpha alpha epsilon beta"]
+    each = [words_.read([t])[0] for t in texts]
+    ids, starts = toxicity.batch(each, np.arange(4))
+    model = toxicity.Model(3)
+    model.embed = r.normal(0, 0.5, model.embed.shape)
+    model.embed[-1] = 0
+    model.filters = [f.astype(np.float64) for f in model.filters]
+    model.bias, model.out = r.normal(0, 0.3, model.bias.shape), model.out.astype(np.float64)
+
+    def slow(text):
+        vectors = [model.embed[words_.hashes[words_.number[w]]].sum(0) for w in text.split()]
+        pooled = []
+        for width, f in zip(toxicity.WIDTHS, model.filters):
+            pad = [np.zeros(toxicity.DIM)] * (width - 1)
+            line = pad + vectors + pad if vectors else [np.zeros(toxicity.DIM)] * width
+            pooled.append(np.max([sum(line[a + k] @ f[k] for k in range(width)) for a in range(len(line) - width + 1)], axis=0))
+        return np.maximum(np.concatenate(pooled) + model.bias, 0) @ model.out + model.prior[0]
+
+    assert np.allclose(model.output(ids, starts, words_.hashes), [slow(t) for t in texts], atol=1e-5)
+    y, weight = np.array([1.0, 0.0, 1.0, 0.0]), np.array([0.5, 1.0, 0.7, 2.0])
+
+    def loss():
+        z = model.output(ids, starts, words_.hashes).astype(np.float64)
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).mean())
+
+    grads = model.step(ids, starts, words_.hashes, y, weight)
+    some = words_.hashes[words_.number["alpha"]][0]
+    for array, grad, at in (
+        *[(f, g, (0, 3, k)) for f, g in zip(model.filters, grads["filters"]) for k in range(0, 8, 3)],
+        *[(model.out, grads["out"], (k,)) for k in range(0, 24, 5)], *[(model.bias, grads["bias"], (k,)) for k in range(0, 24, 5)], *[(model.embed, grads["embed"], (some, k)) for k in range(0, 16, 5)],
+    ):
+        was, step = array[at], 1e-5
+        array[at] = was + step
+        up = loss()
+        array[at] = was - step
+        slope = (up - loss()) / (2 * step)
+        array[at] = was
+        assert abs(slope - grad[at]) < 1e-3 * max(1, abs(slope)) and np.isfinite(slope)
+
+
+def test_toxicity_thresholds_by_language(spark):
+    """Outputs of one language lie higher than those of the other; a language without labels of both kinds has the common threshold."""
+    r = np.random.default_rng(5)
+    lang = np.repeat([0, 1, 2], [200, 200, 20])
+    y = np.where(lang < 2, np.arange(420) % 2, 0).astype(np.float32)
+    z = np.where(lang == 0, 4.0, 0.0) + 2.0 * y + r.uniform(-0.9, 0.9, 420)
+    t = toxicity.calibrated(z, y, lang)
+    assert 4.5 < t[0] < 5.3 and 0.8 < t[1] < 1.6 and t[2] == t[3] == np.float32(toxicity.threshold(z, y))
+    assert toxicity.threshold(np.ones(4), np.array([1, 0, 1, 0])) != 1.0  # a tie is on one side of it
+    en, fr = "the of and to in", "le les des une et"
+    gen = random.Random(7)
+    rows = [(i, " ".join(words(gen, 15) + (en if i % 2 else fr).split() + (["zorg" if i % 2 else "quorl"] if i % 3 == 0 else []))) for i in range(300)]
+    model = toxicity.fit([t for _, t in rows], np.array([i % 3 == 0 for i, _ in rows], np.float32))
+    long = "the " * 100000 + "zorg"
+    frame = spark.createDataFrame(rows + [(5, rows[5][1]), (900, long), (901, "the " * 100000)], "doc_id long, text string")
+    got = toxicity.scored(frame, model).collect()
+    assert len(got) == 303 and len({x.score for x in got if x.doc_id == 5}) == 1
+    by = {x.doc_id: x for x in got}
+    assert {by[1].language, by[2].language} == {"en", "fr"} and by[900].score > by[901].score
+    assert np.mean([(by[i].score >= 0.5) == (i % 3 == 0) for i in range(300)]) > 0.95
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix(docs).collect()
     sizes = defaultdict(int)
@@ -564,6 +693,57 @@ def test_scores_are_those_of_the_whole_tree(spark, monkeypatch):
         assert max(abs(got[i] - want[i]) for i in got) < 0.01 and len(got) == 400
 
 
+class SlowTree:
+    """The same tree by dictionaries of byte strings, one text and one byte at a time."""
+
+    def __init__(self, texts):
+        self.count, self.next = Counter(), defaultdict(Counter)
+        for t in texts:
+            for ctx, b in self.steps(t):
+                for d in range(suffix_tree.DEPTH + 1):
+                    c = ctx[len(ctx) - d :]
+                    self.count[c] += 1
+                    self.next[c][b] += 1
+        often = {c for c, n in self.count.items() if c and n >= suffix_tree.LEAST}
+        keep = {c for c in often if len(c) < suffix_tree.SHARD or self.information(c) >= suffix_tree.DIVERGENCE}
+        self.nodes = {c[k:] for c in keep for k in range(len(c))} | {b""}
+
+    @staticmethod
+    def steps(t):
+        data = suffix_tree.END * suffix_tree.DEPTH + b" ".join(suffix_tree.words(t)) + suffix_tree.END
+        return [(data[i - suffix_tree.DEPTH : i], data[i]) for i in range(suffix_tree.DEPTH, len(data))]
+
+    def information(self, c):
+        shorter = c[1:]
+        return sum(n * math.log(n / self.count[c] / (self.next[shorter][b] / self.count[shorter])) for b, n in self.next[c].items())
+
+    def p(self, c, b):
+        while c not in self.nodes:
+            c = c[1:]
+        if not c:
+            return (self.next[c][b] + 1) / (self.count[c] + 256)
+        named, mass = self.next[c], suffix_tree.MASS * len(self.next[c])
+        one = lambda x: (named[x] + mass * self.p(c[1:], x)) / (self.count[c] + mass)
+        if b in named:
+            return one(b)
+        return self.p(c[1:], b) * (1 - sum(map(one, named))) / (1 - sum(self.p(c[1:], x) for x in named))
+
+    def score(self, t):
+        return sum(math.log10(self.p(ctx, b)) for ctx, b in self.steps(t))
+
+
+def test_the_tree_is_that_of_dictionaries(spark):
+    r = random.Random(21)
+    texts = [" ".join(words(r, r.randint(0, 60))) + (" Señor 漢字 mixed" if i % 9 == 0 else "") for i in range(120)] + [None]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    tree = SlowTree([t for t, h in zip(texts, held) if not h])
+    assert any(len(c) == suffix_tree.DEPTH for c in tree.nodes) and any(c not in tree.nodes for c in tree.count)
+    got = {x.doc_id: x for x in suffix_tree.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = tree.score(t)
+        assert abs(got[i].score - want) < 1e-4 * abs(want) + 1e-3 and got[i].held_out == held[i], (i, got[i].score, want)
+
+
 def test_bpe_is_tiktoken(docs, rows, none):
     import public_tokenizers as P
     import tiktoken
@@ -597,6 +777,17 @@ def test_bpe_emits_after_bounded_lookahead(monkeypatch):
             assert fst.encode(piece) == fst.merged(piece)
 
 
+def test_pipeline_of_an_odd_and_of_an_empty_table(spark, docs, rows, none, tmp_path):
+    """Nulls, repeated rows, clashing columns and no rows at all go through every stage."""
+    labels = spark.createDataFrame([(i, i % 2, i % 5 == 0, None) for i in range(0, 70)], "doc_id long, quality int, toxic boolean, score double").selectExpr("doc_id", "quality", "cast(toxic as int) toxic", "score")
+    for name, frame in (("odd", docs), ("none", none)):
+        frame.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert got and all(r.exact for r in got) and {r.doc_id for r in got} <= {i for i, *_ in rows}
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
