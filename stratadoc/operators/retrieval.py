@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
@@ -16,11 +15,9 @@ from stratadoc.functions.tables import stage
 
 K1, B = 1.2, 0.75
 RRF = 60
-#: Query vectors and vectors that one row holds, so that a pair of rows is one matrix product.
-QUERY_BLOCK, VECTOR_BLOCK = 256, 2048
 DIMENSIONS = 64
 #: Rows of query terms that are broadcast at most (beyond it they are joined), query vectors sent to every task at a time, and postings of pages.
-BROADCAST_ROWS, QUERY_VECTORS, POSTINGS = 500_000, 50_000, 2_000_000
+BROADCAST_ROWS, QUERY_VECTORS, POSTINGS = 500_000, 10_000, 2_000_000
 #: Length of each of the two lists that a hybrid search fuses.
 FIRST = 50
 #: Scores of sources and pages held at a time.
@@ -59,47 +56,77 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", q
     return top(scored, query, doc, k)
 
 
-def _packed(rows: int):
-    """Batches of (vec_id, embedding) as rows of up to so many ids and their vectors, end to end."""
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of all elements of a column of lists."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), lengths), column.flatten().to_numpy(zero_copy_only=False)
 
-    def run(frames):
-        for frame in frames:
-            for at in range(0, len(frame), rows):
-                part = frame.iloc[at : at + rows]
-                yield pd.DataFrame({"ids": [part["vec_id"].to_numpy()], "vectors": [np.concatenate(part["embedding"].to_list())]})
 
-    return run
+def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the hashed dimensions of a batch of texts, and their norms (1 of empty ones)."""
+    row, dim = _lists(column)
+    out = np.bincount(row * DIMENSIONS + dim, minlength=len(column) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float64)
+    norm = np.sqrt((out * out).sum(1))
+    return out, np.where(norm > 0, norm, 1.0)
 
 
-def _nearest(k: int):
-    def run(frames):
-        for frame in frames:
-            out = []
-            for q_ids, q, ids, v in frame[["q_ids", "q_vectors", "ids", "vectors"]].itertuples(index=False):
-                q, v = (np.asarray(x, np.float64).reshape(n, -1) for x, n in ((q, len(q_ids)), (v, len(ids))))
-                cos = np.round((q @ v.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None], 1e-300), 6)
-                cos[np.asarray(q_ids)[:, None] == np.asarray(ids)[None]] = -np.inf
-                for i, q_id in enumerate(q_ids):
-                    best = np.lexsort((ids, -cos[i]))[:k]
-                    best = best[np.isfinite(cos[i][best])]
-                    out.append(pd.DataFrame({"query_id": np.full(len(best), q_id, np.int64), "vec_id": ids[best], "score": cos[i][best]}))
-            if out:
-                yield pd.concat(out)
+def _given(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as they are, and their norms."""
+    out = _lists(column)[1].astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return out, np.maximum(np.linalg.norm(out, axis=1), 1e-300)
+
+
+def _closest(shipped, k: int, vectors_of, least: float, same: bool, schema: pa.Schema):
+    def run(batches):
+        """Of a task's rows the k closest to each query, which alone leave it."""
+        ids, vectors, norms = shipped.value
+        best = np.full((len(ids), k), -np.inf)
+        who = np.full((len(ids), k), np.iinfo(np.int64).max)
+        step = max(16, CELLS // max(1, len(ids)) - k)
+        for whole in batches:
+            for a in range(0, len(whole), step):
+                batch = whole.slice(a, step)
+                own, norm = vectors_of(batch.column(1))
+                doc = batch.column(0).to_numpy(zero_copy_only=False)
+                cosines = np.round((vectors @ own.T) / norm[None] / norms[:, None], 6)
+                cosines[cosines <= least] = -np.inf
+                if not same:
+                    cosines[ids[:, None] == doc[None]] = -np.inf
+                all_c, all_d = np.concatenate([best, cosines], 1), np.concatenate([who, np.broadcast_to(doc, cosines.shape)], 1)
+                at = np.lexsort((all_d, -all_c), axis=-1)[:, :k]
+                best, who = np.take_along_axis(all_c, at, 1), np.take_along_axis(all_d, at, 1)
+        q, r = np.nonzero(np.isfinite(best))
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(who[q, r]), pa.array(best[q, r])], schema=schema)
 
     return run
 
 
+def _searched(rows: DataFrame, queries: DataFrame, names: tuple[str, str, str], k: int, vectors_of, least: float, same: bool) -> DataFrame:
+    """(query, row, cosine, rank) of (id, vector) rows: they are scanned once for QUERY_VECTORS queries, which are sent to every task."""
+    spark = rows.sparkSession
+    sql = f"{names[0]} long, {names[1]} long, {names[2]} double"
+    schema = to_arrow_schema(spark.createDataFrame([], sql).schema)
+    wanted = stage(queries, "query-vectors")
+    n = -(-wanted.count() // QUERY_VECTORS) or 1
+    out = None
+    for part in range(n):
+        mine = wanted.filter(F.pmod(F.xxhash64(wanted.columns[0]), F.lit(n)) == part).toArrow().combine_chunks()  # about QUERY_VECTORS rows
+        ids = mine.column(0).to_numpy()
+        column = pa.concat_arrays(mine.column(1).chunks) if len(ids) else pa.array([], mine.schema.field(1).type)
+        shipped = spark.sparkContext.broadcast((ids, *vectors_of(column)))
+        found = rows.mapInArrow(_closest(shipped, k, vectors_of, least, same, schema), sql)
+        out = found if out is None else out.unionByName(found)
+    return top(out, names[0], names[1], k, names[2])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, vec_id, score, rank) by cosine.
+    """(query_id, vec_id, score, rank): the k other vectors that are closest to each query by cosine, compared with all.
 
-    Blocks of queries meet blocks of vectors, not single vectors, so a query
-    block is copied once for ``VECTOR_BLOCK`` of them; each pair of blocks
-    returns its own k best only.
+    Only a task's k best of each query leave it. Rows without a vector take no part.
     """
-    pack = lambda d, n: d.filter("embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("long"), "embedding").mapInPandas(_packed(n), "ids array<long>, vectors array<float>")
-    blocks = stage(pack(queries, QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "query-blocks")
-    pairs = pack(vectors, VECTOR_BLOCK).crossJoin(blocks)
-    return top(pairs.mapInPandas(_nearest(k), "query_id long, vec_id long, score double"), "query_id", "vec_id", k)
+    own = lambda d: d.filter("embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return _searched(own(vectors), own(queries), ("query_id", "vec_id", "score"), k, _given, -2.0, False)
 
 
 def hashed(docs: DataFrame, key: str) -> DataFrame:
@@ -113,62 +140,10 @@ def dims() -> Column:
     return F.transform(T.tokens(F.col("text")), T.dimension).alias("dims")
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and value of all elements of a column of lists."""
-    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(column)), lengths), column.flatten().to_numpy(zero_copy_only=False)
-
-
-def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed vectors of a batch, and their norms (1 of empty ones)."""
-    row, dim = _lists(column)
-    out = np.bincount(row * DIMENSIONS + dim, minlength=len(column) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float64)
-    norm = np.sqrt((out * out).sum(1))
-    return out, np.where(norm > 0, norm, 1.0)
-
-
-def _closest(shipped, first: int, schema: pa.Schema):
-    def run(batches):
-        """Of a task's documents the ``first`` closest to each query, which alone leave it."""
-        ids, vectors, norms = shipped.value
-        held: list = [None] * len(ids)
-        for batch in batches:
-            if not len(batch):
-                continue
-            own, norm = _vectors(batch.column("dims"))
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            cosines = np.round((own @ vectors.T) / norm[:, None] / norms[None], 6)
-            for q in range(len(ids)):
-                c, d = cosines[:, q], doc
-                on = c > 0
-                c, d = c[on], d[on]
-                if held[q] is not None:
-                    c, d = np.concatenate([held[q][0], c]), np.concatenate([held[q][1], d])
-                best = np.lexsort((d, -c))[:first]
-                held[q] = c[best], d[best]
-        for q, found in enumerate(held):
-            if found is not None and len(found[0]):
-                c, d = found
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(c), schema.types[0]), pa.array(d, schema.types[1]), pa.array(c)], schema=schema)
-
-    return run
-
-
 def closest(docs: DataFrame, queries: DataFrame, first: int, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
-    """(query, doc, cosine): the ``first`` texts of all that are closest to each query by hashed vectors; one scan, and only these leave their task."""
-    spark = docs.sparkSession
-    wanted = stage(queries.select(query, dims()), "query-dims")
-    n = -(-wanted.count() // QUERY_VECTORS) or 1
-    types = [f"{query} {wanted.schema[query].dataType.simpleString()}", f"{doc} {docs.schema[doc].dataType.simpleString()}", "cosine double"]
-    schema = to_arrow_schema(docs.sparkSession.createDataFrame([], ", ".join(types)).schema)
-    out = None
-    for k in range(n):
-        rows = wanted.filter(F.pmod(F.xxhash64(query), F.lit(n)) == k).toArrow().combine_chunks()  # about QUERY_VECTORS of them
-        column = rows["dims"].combine_chunks()
-        shipped = spark.sparkContext.broadcast((rows[query].to_pylist(), *_vectors(column)))
-        part = docs.select(doc, dims()).mapInArrow(_closest(shipped, first, schema), ", ".join(types))
-        out = part if out is None else out.unionByName(part)
-    return top(out, query, doc, first, "cosine")
+    """(query, doc, cosine, rank): the ``first`` texts of all that are closest to each query by hashed vectors. Ids are whole numbers."""
+    own = lambda d, key: d.select(F.col(key).cast("long").alias(key), dims())
+    return _searched(own(docs, doc), own(queries, query), (query, doc, "cosine"), first, _hashed, 0.0, True)
 
 
 class Index:
@@ -184,7 +159,7 @@ class Index:
         self.keys, start, count = np.unique(term[by], return_index=True, return_counts=True)
         self.start, self.count, self.pages = start, count, at[by]
         self.idf = postings["idf"].to_numpy()[by][start] if len(by) else np.zeros(0)
-        self.vectors, self.norms = _vectors(pages["dims"].combine_chunks().take(pa.array(order)))
+        self.vectors, self.norms = _hashed(pages["dims"].combine_chunks().take(pa.array(order)))
 
     def scores(self, batch) -> tuple[np.ndarray, np.ndarray]:
         """Sums of the idf of shared terms, and cosines, of each source and page."""
@@ -199,7 +174,7 @@ class Index:
             place = np.repeat(self.start[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             cell = np.repeat(row, count) * width + self.pages[place]
             score = np.round(np.bincount(cell, np.repeat(self.idf[at], count), n * width).reshape(n, width), 4)
-        own, norm = _vectors(batch.column("dims"))
+        own, norm = _hashed(batch.column("dims"))
         return score, np.round((own @ self.vectors.T) / norm[:, None] / self.norms[None], 6)
 
 

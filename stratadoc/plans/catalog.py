@@ -327,13 +327,15 @@ def cluster_confidence(spark, d):
     return graph.consolidated(members.withColumn("age_days", F.col("node") % 365))
 
 
-@query(f"""WITH RECURSIVE {CLUSTERS}, cl AS (SELECT label AS entity, a.attribute, a.value FROM clusters JOIN labels ON node = doc_id,
-    LATERAL (SELECT 'quality' AS attribute, quality::VARCHAR AS value UNION ALL SELECT 'toxic', toxic::VARCHAR) a WHERE a.value IS NOT NULL)
+@query(f"""WITH RECURSIVE {CLUSTERS}, m AS (SELECT label, d.source, l.quality, l.toxic FROM clusters JOIN documents d ON node = d.doc_id LEFT JOIN labels l ON node = l.doc_id),
+  cl AS (SELECT label AS entity, a.attribute, a.value FROM m, LATERAL (SELECT 'quality' AS attribute, quality::VARCHAR AS value UNION ALL SELECT 'toxic', toxic::VARCHAR UNION ALL SELECT 'source', source) a WHERE a.value IS NOT NULL)
 SELECT entity, attribute, count(DISTINCT value) AS n_values, string_agg(DISTINCT value, ',' ORDER BY value) AS found FROM cl GROUP BY ALL HAVING count(DISTINCT value) > 1""")
 def contradictions(spark, d):
-    claims = V.clusters(spark, d).join(V.table(spark, d, "labels").withColumnRenamed("doc_id", "node"), "node")
-    both = F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).alias("value")) for c in ("quality", "toxic")])).alias("c")
-    return lint.contradictions(claims.select(F.col("label").alias("entity"), both).select("entity", "c.attribute", "c.value"))
+    """What the members of a cluster claim of themselves: a label, and the source that it is from."""
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("node"), "source")
+    claims = V.clusters(spark, d).join(docs, "node").join(V.table(spark, d, "labels").withColumnRenamed("doc_id", "node"), "node", "left")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value")) for c in ("quality", "toxic", "source")])).alias("c")
+    return lint.contradictions(claims.select(F.col("label").alias("entity"), each).select("entity", "c.attribute", "c.value"))
 
 
 WIKI = r"""wiki AS (SELECT page_id AS page, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
