@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratadoc.llm._shared import SPACE, stage, table, text_or_empty
+from stratadoc.llm._shared import SPACE, stage, table, text_or_empty, with_hot
 
 #: Characters under the prefix hash.
 PREFIX = 64
@@ -75,18 +75,18 @@ def groups(docs: DataFrame) -> DataFrame:
         rows.filter("hit").groupBy("sha")
         .agg(F.max(F.struct("n_points", _last_null(F.col("doc_id")).alias("neg"))).alias("best"), F.count("*").alias("group_size"))
         .filter("group_size > 1")
-        .select(F.col("sha").alias("group_sha"), (-F.col("best.neg")).alias("keep_id"), "group_size"),
+        .select("sha", (-F.col("best.neg")).alias("keep_id"), "group_size"),
         "dedup-groups",
     )
     # A row whose (len, prefix) pair is its own joins nothing: its key is null and is spread by its id.
     single = rows.filter("hit is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     multi = (
-        rows.filter("hit").select("doc_id", "sha").join(found, F.col("sha") == F.col("group_sha"), "left")
+        with_hot(rows.filter("hit").select("doc_id", "sha"), found, "sha", "group_size", "left")
         .select(
             "doc_id",
-            F.when(F.col("group_sha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+            F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
             F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-            F.expr("group_sha is null or doc_id <=> keep_id").alias("kept"),
+            F.expr("group_size is null or doc_id <=> keep_id").alias("kept"),
             F.col("sha").alias("text_sha256"),
         )
     )
