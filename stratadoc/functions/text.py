@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters and digits make tokens; everything else separates them.
-SEPARATOR = r"[^\p{L}\p{N}]+"
+TOKEN = r"[\p{L}\p{N}]+"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased tokens of a text (null: none)."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def token_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -26,8 +26,7 @@ def md5_number(text: Column) -> Column:
 
 def dimension(term: Column) -> Column:
     """A number below 64 from the first 32 bits of an md5: ``md5_number(term) % 64``, from the two digits that decide it."""
-    digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(term), at, 1)) - 1
-    return ((digit(7) * 16 + digit(8)) % 64).cast("int")
+    return F.conv(F.substring(F.md5(term), 7, 2), 16, 10).cast("int") % 64
 
 
 def frontmatter(text: Column) -> Column:
