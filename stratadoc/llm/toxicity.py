@@ -113,7 +113,10 @@ class Model:
     def responses(self, ids: np.ndarray, hashes: np.ndarray):
         """Responses of each width's filters at each place that a window of it can start."""
         used, at = np.unique(ids, return_inverse=True)
-        vectors = self.embed[hashes[used]].sum(1)
+        rows = hashes[used]
+        vectors = self.embed[rows[:, 0]]
+        for k in range(1, rows.shape[1]):
+            vectors += self.embed[rows[:, k]]
         out = []
         for w, f in zip(WIDTHS, self.filters):
             n = len(ids) - w + 1
@@ -144,7 +147,7 @@ class Model:
         return hidden @ self.out + self.prior
 
     def step(self, ids, starts, hashes, target, weight):
-        """Gradients of the weighted logistic loss over one batch."""
+        """Gradients of the weighted logistic loss over one batch; that of the embeddings as the rows that each gradient is for."""
         used, at, vectors, responses = self.responses(ids, hashes)
         places, pooled = [], []
         for w, h in zip(WIDTHS, responses):
@@ -169,10 +172,8 @@ class Model:
                 df[k] = np.einsum("bfd,bf->df", vectors[rows], g)
                 np.add.at(dv, rows, g[:, :, None] * f[k].T[None])
             grads["filters"].append(df)
-        de = np.zeros_like(self.embed)
-        np.add.at(de, hashes[used], dv[:, None, :])
-        de[BUCKETS] = 0
-        grads["embed"] = de
+        some = np.flatnonzero(dv.any(1))  # only the words of the largest responses
+        grads["embed"] = hashes[used[some]], dv[some]
         return grads
 
 
@@ -207,7 +208,10 @@ def optimised(each: list[np.ndarray], labels: np.ndarray, train: np.ndarray, has
             g = model.step(*batch(each, rows), hashes, y, np.where(y > 0, 0.5 / share, 0.5 / (1 - share)))
             g |= {f"filter{j}": x for j, x in enumerate(g.pop("filters"))}
             t += 1
-            model.embed -= EMBED_RATE * (g.pop("embed") + DECAY * model.embed)
+            rows, grad = g.pop("embed")
+            model.embed *= 1 - EMBED_RATE * DECAY
+            np.subtract.at(model.embed, rows, (EMBED_RATE * grad)[:, None, :])
+            model.embed[BUCKETS] = 0
             for k, v in params.items():
                 grad = g[k]
                 first[k] += 0.1 * (grad - first[k])
