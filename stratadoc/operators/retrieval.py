@@ -16,8 +16,8 @@ from stratadoc.functions.tables import stage
 K1, B = 1.2, 0.75
 RRF = 60
 DIMENSIONS = 64
-#: Rows of query terms that are broadcast at most (beyond it they are joined), query vectors sent to every task at a time, and postings of pages.
-BROADCAST_ROWS, QUERY_VECTORS, POSTINGS = 500_000, 10_000, 2_000_000
+#: Queries, and terms of queries, sent to every task at a time; postings of pages.
+QUERY_VECTORS, QUERY_TERMS, POSTINGS = 10_000, 5_000_000, 2_000_000
 #: Length of each of the two lists that a hybrid search fuses.
 FIRST = 50
 #: Scores of sources and pages held at a time.
@@ -30,32 +30,6 @@ def top(scored: DataFrame, query: str, doc: str, k: int, score: str = "score") -
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
-    """(query, doc, score, rank).
-
-    One scan counts the query terms of each document and, under a null term, all
-    its other tokens together, so lengths come from the same small table. The
-    query terms are broadcast if they are few enough; they bound what else is.
-    Postings are brought together by document once; scores and the first cut to
-    k are made there, so only the best of each partition are shuffled by query.
-    """
-    words = T.tokens(F.col("text"))
-    terms = stage(queries.select(query, F.explode(F.array_distinct(words)).alias("term")), "query-terms")
-    few = F.broadcast if terms.count() <= BROADCAST_ROWS else (lambda d: d)
-    wanted = few(terms.select(F.col("term").alias("wanted")).distinct())
-    counted = docs.select(doc, F.explode(words).alias("word")).join(wanted, F.col("word") == F.col("wanted"), "left")
-    counts = stage(counted.groupBy(doc, F.col("wanted").alias("term")).agg(F.count("*").alias("tf")), "term-counts")
-    lengths = counts.groupBy(doc).agg(F.sum("tf").alias("dl"))
-    postings = counts.filter("term is not null")
-    df = few(postings.groupBy("term").agg(F.count("*").alias("df")))
-    whole = docs.agg(F.count("*").alias("n")).crossJoin(counts.agg(F.sum("tf").cast("double").alias("total")))
-    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("total") / F.col("n"))))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = postings.hint("merge").join(lengths, doc).join(df, "term").crossJoin(F.broadcast(whole)).select(doc, "term", (idf * norm).alias("w"))
-    scored = weighted.join(few(terms), "term").groupBy(query, doc).agg(F.round(F.sum("w"), 4).alias("score"))
-    return top(scored, query, doc, k)
-
-
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row and value of all elements of a column of lists."""
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -76,32 +50,119 @@ def _given(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.maximum(np.linalg.norm(out, axis=1), 1e-300)
 
 
+class _Best:
+    """The k best rows of each query so far: scores, and the ids that go with them."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.step = k, max(16, CELLS // max(1, queries) - k)
+        self.score = np.full((queries, k), -np.inf)
+        self.who = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of each query (rows) and id (columns); those of -inf do not count, ties go to the smaller id."""
+        scores, ids = np.concatenate([self.score, scores], 1), np.concatenate([self.who, np.broadcast_to(ids, scores.shape)], 1)
+        at = np.lexsort((ids, -scores), axis=-1)[:, : self.k]
+        self.score, self.who = np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+
+    def batch(self, queries: np.ndarray, schema: pa.Schema):
+        q, r = np.nonzero(np.isfinite(self.score))
+        return pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(self.who[q, r]), pa.array(self.score[q, r])], schema=schema)
+
+
 def _closest(shipped, k: int, vectors_of, least: float, same: bool, schema: pa.Schema):
     def run(batches):
         """Of a task's rows the k closest to each query, which alone leave it."""
         ids, vectors, norms = shipped.value
-        best = np.full((len(ids), k), -np.inf)
-        who = np.full((len(ids), k), np.iinfo(np.int64).max)
-        step = max(16, CELLS // max(1, len(ids)) - k)
+        best = _Best(len(ids), k)
         for whole in batches:
-            for a in range(0, len(whole), step):
-                batch = whole.slice(a, step)
+            for a in range(0, len(whole), best.step):
+                batch = whole.slice(a, best.step)
                 own, norm = vectors_of(batch.column(1))
                 doc = batch.column(0).to_numpy(zero_copy_only=False)
                 cosines = np.round((vectors @ own.T) / norm[None] / norms[:, None], 6)
                 cosines[cosines <= least] = -np.inf
                 if not same:
                     cosines[ids[:, None] == doc[None]] = -np.inf
-                all_c, all_d = np.concatenate([best, cosines], 1), np.concatenate([who, np.broadcast_to(doc, cosines.shape)], 1)
-                at = np.lexsort((all_d, -all_c), axis=-1)[:, :k]
-                best, who = np.take_along_axis(all_c, at, 1), np.take_along_axis(all_d, at, 1)
-        q, r = np.nonzero(np.isfinite(best))
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(who[q, r]), pa.array(best[q, r])], schema=schema)
+                best.add(cosines, doc)
+        yield best.batch(ids, schema)
+
+    return run
+
+
+def _counted(shipped):
+    def run(batches):
+        """Of each text the query terms it has, as their numbers, how often, and its length in tokens."""
+        keys = shipped.value
+        for batch in batches:
+            row, term = _lists(batch.column("terms"))
+            at = np.minimum(np.searchsorted(keys, term), max(len(keys) - 1, 0))
+            hit = keys[at] == term if len(keys) else np.zeros(len(term), bool)
+            cell, tf = np.unique(row[hit] * max(len(keys), 1) + at[hit], return_counts=True)
+            ends = np.searchsorted(cell, np.arange(len(batch) + 1) * max(len(keys), 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (cell % max(len(keys), 1), tf)]
+            lengths = pa.array(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, lengths], names=[batch.schema.names[0], "keys", "tfs", "dl"])
 
     return run
 
 
+def _weighed(shipped, k: int, schema: pa.Schema):
+    def run(batches):
+        """Of a task's texts the k best of each query by BM25."""
+        ids, start, count, asking, idf, mean = shipped.value
+        best = _Best(len(ids), k)
+        for whole in batches:
+            for a in range(0, len(whole), best.step):
+                batch = whole.slice(a, best.step)
+                row, key = _lists(batch.column("keys"))
+                tf, dl = _lists(batch.column("tfs"))[1].astype(np.float64), batch.column("dl").to_numpy()[row]
+                weight = idf[key] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean)))
+                n = count[key]
+                at = np.repeat(start[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                cell = asking[at] * len(batch) + np.repeat(row, n)
+                score = np.round(np.bincount(cell, np.repeat(weight, n), len(ids) * len(batch)).reshape(len(ids), len(batch)), 4)
+                best.add(np.where(score > 0, score, -np.inf), batch.column(0).to_numpy(zero_copy_only=False))
+        yield best.batch(ids, schema)
+
+    return run
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
+    """(query, doc, score, rank): the k best of all texts for each query. Ids are whole numbers.
+
+    One scan counts the terms of the queries in each text, and nothing else of it
+    goes on; the second reads these counts, and only a task's k best of each
+    query leave it. Queries are sent to the tasks in blocks of at most
+    QUERY_VECTORS and about QUERY_TERMS of their terms.
+    """
+    spark = docs.sparkSession
+    hashes = F.transform(T.tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("terms")
+    asked = stage(queries.filter(F.col(query).isNotNull()).select(F.col(query).cast("long").alias(query), F.array_distinct(hashes).alias("terms")), "query-terms")
+    n, total = asked.agg(F.count("*"), F.sum(F.size("terms"))).first()
+    blocks = max(1, -(-n // QUERY_VECTORS), -(-(total or 0) // QUERY_TERMS))
+    sql = f"{query} long, {doc} long, score double"
+    schema = to_arrow_schema(spark.createDataFrame([], sql).schema)
+    texts = docs.select(F.col(doc).cast("long").alias(doc), hashes)
+    out = None
+    for b in range(blocks):
+        mine = asked.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == b).toArrow().combine_chunks()
+        ids = mine.column(0).to_numpy()
+        row, term = _lists(pa.concat_arrays(mine.column(1).chunks)) if len(ids) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        keys, at = np.unique(term, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        count = np.bincount(at, minlength=len(keys))
+        counted = stage(texts.mapInArrow(_counted(spark.sparkContext.broadcast(keys)), f"{doc} long, keys array<int>, tfs array<int>, dl int"), "term-counts")
+        size, tokens = counted.agg(F.count("*"), F.sum("dl")).first()
+        found = counted.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("df")).toArrow()  # a row a query term
+        df = np.zeros(len(keys))
+        df[found["key"].to_numpy()] = found["df"].to_numpy()
+        idf = np.log(1 + (size - df + 0.5) / (df + 0.5))
+        shipped = spark.sparkContext.broadcast((ids, np.cumsum(count) - count, count, row[order], idf, (tokens or 1) / max(size, 1)))
+        part = counted.filter(F.col(doc).isNotNull() & (F.size("keys") > 0)).mapInArrow(_weighed(shipped, k, schema), sql)
+        out = part if out is None else out.unionByName(part)
+    return top(out, query, doc, k)
+
+
 def _searched(rows: DataFrame, queries: DataFrame, names: tuple[str, str, str], k: int, vectors_of, least: float, same: bool) -> DataFrame:
     """(query, row, cosine, rank) of (id, vector) rows: they are scanned once for QUERY_VECTORS queries, which are sent to every task."""
     spark = rows.sparkSession
@@ -125,7 +186,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Only a task's k best of each query leave it. Rows without a vector take no part.
     """
-    own = lambda d: d.filter("embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    own = lambda d: d.filter("vec_id is not null and embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     return _searched(own(vectors), own(queries), ("query_id", "vec_id", "score"), k, _given, -2.0, False)
 
 
@@ -142,7 +203,7 @@ def dims() -> Column:
 
 def closest(docs: DataFrame, queries: DataFrame, first: int, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
     """(query, doc, cosine, rank): the ``first`` texts of all that are closest to each query by hashed vectors. Ids are whole numbers."""
-    own = lambda d, key: d.select(F.col(key).cast("long").alias(key), dims())
+    own = lambda d, key: d.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), dims())
     return _searched(own(docs, doc), own(queries, query), (query, doc, "cosine"), first, _hashed, 0.0, True)
 
 

@@ -532,9 +532,18 @@ def latest_reports(spark, d):
 
 
 @query(f"""WITH {PACKET} SELECT 'blocked' AS "check", count(*) AS n, count(*) = 0 AS ok FROM documents WHERE NOT regexp_matches(text, '[0-9a-f]{{40}}') AND NOT contains(text, '|') AND NOT contains(text, '@') AND NOT contains(text, '!!') AND NOT contains(text, chr(10))
-UNION ALL SELECT 'maintenance', count(*), count(*) = 0 FROM delta WHERE change_type IN ('moved', 'deleted')""")
+UNION ALL SELECT 'maintenance', count(*), count(*) = 0 FROM delta WHERE change_type IN ('moved', 'deleted')
+UNION ALL SELECT 'empty', count(*), count(*) = 0 FROM inv WHERE coalesce(text, '') = '' UNION ALL SELECT 'repeated', count(*), count(*) = 0 FROM (SELECT path FROM inv GROUP BY path HAVING count(*) > 1)
+UNION ALL SELECT 'stale_index', count(*), count(*) = 0 FROM inv WHERE NOT EXISTS (SELECT 1 FROM man WHERE old_path = path AND old_sha256 = sha256)""")
 def preflight(spark, d):
-    return packet.preflight({"blocked": packet.blocked(packet.routed(V.table(spark, d, "documents"))), "maintenance": V.delta(spark, d).filter("change_type in ('moved', 'deleted')")})
+    inv = V.inventory(spark, d)
+    return packet.preflight({
+        "blocked": packet.blocked(packet.routed(V.table(spark, d, "documents"))),
+        "maintenance": V.delta(spark, d).filter("change_type in ('moved', 'deleted')"),
+        "empty": inv.filter("length = 0"),
+        "repeated": inv.groupBy("path").count().filter("count > 1"),
+        "stale_index": retrieval.stale(inv, V.manifest(spark, d)),
+    })
 
 
 @query(f"""WITH {PACKET}, best AS (SELECT doc_id, score FROM cand WHERE rank = 1)
